@@ -12,10 +12,11 @@ have a Jaccard similarity of at least 75 %. The join runs in these steps:
    A heavy set posts and scans the inverted lists of single shingles of the start of its set.
    The boundary is the size up to which the pairs of a set cost less than scanning its lists,
    from the mean length of all lists.
-4. Verification. Each round compares every class with the one leader that it shares most lists
-   with, joins what is linked, and drops the lists that lie within one component; thousands of
-   near copies so cost one comparison each instead of all pairs. Pairs that still lie in
-   different components after the rounds are compared one by one: no link is lost.
+4. Verification. First each class is compared with the one leader that it shares most lists with,
+   and lists that lie within one component close: thousands of near copies cost one comparison
+   each. Sets that open lists still connect meet in blocks of bounded size, every two blocks of
+   a connected part in one task, where inverted lists give the exact overlap of every two sets.
+   A set so travels once for each block it meets, and no pair of documents is ever a row.
 
 Shingles are compared by 64-bit hash. Null or empty texts, and texts without words, have an
 empty set and no link. Rows that repeat a doc_id are documents of their own; the component's
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +43,9 @@ from spoorline.llm.components import components
 #: Similarity in hundredths, and how many hashes a bucket of step 1 holds about.
 PERCENT = 75
 BUCKET = 1_000_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Sets and shingles of a block of step 4 about.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
 
 
 def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
@@ -204,23 +206,84 @@ def _signed(boundary: int, percent: int):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
             ok = []
-            for a, b in zip(left, right):
+            for a, b in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(a.as_buffer(), tc.U64), np.frombuffer(b.as_buffer(), tc.U64)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 o = int(np.count_nonzero(both[1:] == both[:-1]))
                 ok.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["u", "v", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of keys that link."""
     a = sets.select(F.col("key").alias("u"), F.col("hashes").alias("hu"))
     b = sets.select(F.col("key").alias("v"), F.col("hashes").alias("hv"))
-    return written(pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "hu", "hv").mapInArrow(_verify(percent), "u binary, v binary, linked boolean"), "jaccard-pairs")
+    return written(pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "hu", "hv").mapInArrow(_verify(percent), "u binary, v binary"), "jaccard-links")
+
+
+def _overlaps(s: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sets with something in common and their overlaps, by scanning inverted lists."""
+    k = len(s)
+    who = np.repeat(np.arange(k, dtype=np.int64), [len(x) for x in s])
+    every = np.concatenate(s) if s else np.zeros(0, tc.U64)
+    order = np.argsort(every, kind="stable")
+    every, who = every[order], who[order]
+    cut = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
+    length = np.diff(cut)
+    count = np.zeros((k, k), np.int32)
+    two = cut[:-1][length == 2]
+    if len(two):
+        count += np.bincount(who[two] * k + who[two + 1], minlength=k * k).reshape(k, k).astype(np.int32)
+    for a, n in zip(cut[:-1][length > 2].tolist(), length[length > 2].tolist()):
+        i = who[a : a + n]
+        count[i[:, None], i] += 1
+    i, j = np.nonzero(np.triu(count, 1))
+    return i, j, count[i, j]
+
+
+def _block_links(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, tc.U64) for x in pdf["hashes"]]
+        keys, n = pdf["key"].tolist(), np.array([len(x) for x in sets], np.int64)
+        label = {c: c for c in pdf["comp"]}
+        comp = pdf["comp"].tolist()
+
+        def top(x):
+            while label[x] != x:
+                label[x] = x = label[label[x]]
+            return x
+
+        i, j, o = _overlaps(sets)
+        ok = 100 * o.astype(np.int64) >= percent * (n[i] + n[j] - o)
+        out = []
+        for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+            x, y = top(comp[a]), top(comp[b])
+            if x != y:
+                label[x] = y
+                out.append((keys[a], keys[b]))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return run
+
+
+def _met_in_blocks(open_posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, key, n, comp) of open lists -> links (u, v) that join all components to be joined."""
+    lead = open_posts.groupBy("sig").agg(F.min("key").alias("v"))
+    near = open_posts.select("sig", F.col("key").alias("u")).join(lead, "sig").select("u", "v").distinct()
+    part = components(near).toDF("key", "part")
+    member = open_posts.select("key", "n", "comp").distinct().join(part, "key")
+    size = member.groupBy("part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("long")
+    dealt = member.join(size.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = dealt.select("part", "key", "comp", "block", other.alias("other"))
+    met = met.select("part", "key", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    held = met.join(sets.select("key", "hashes"), "key")
+    return written(held.groupBy("part", "i", "j").applyInPandas(_block_links(percent), "u binary, v binary"), "jaccard-links")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -230,43 +293,35 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     """
     ledger = shingle_ledger(docs, width)
     near = ledger.filter((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    classes = near.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = near.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     chosen = classes.select(F.col("doc_id").alias("chosen")).distinct().hint("shuffle_hash")
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
     sets = written(texts.select("text").mapInArrow(_sets(width), "key binary, n long, hashes binary").filter("n > 0"), "shingle-sets")
-    heavy = sets.mapInArrow(_signed(0, percent), "sig long, key binary, n long")
-    lists = heavy.agg(F.count("*"), F.approx_count_distinct("sig")).first()
+    lists = sets.mapInArrow(_signed(0, percent), "sig long, key binary, n long").agg(F.count("*"), F.approx_count_distinct("sig")).first()
     boundary = light_boundary(lists[0] / max(lists[1], 1), percent)
     signed = sets.mapInArrow(_signed(boundary, percent), "sig long, key binary, n long").distinct()
     shared = signed.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
     posted = written(signed.join(shared, "sig"), "jaccard-lists")
+    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+
+    comp = None
+
+    def joined(found: DataFrame) -> DataFrame:
+        links = found if comp is None else found.union(comp.select(F.col("key").alias("u"), F.col("comp").alias("v")))
+        return components(links).toDF("key", "comp")
 
-    edges = comp = tested = None
     for turn in range(STAR_ROUNDS + 1):
         p = posted.withColumn("comp", F.col("key")) if comp is None else posted.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         open_lists = p.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("key", "comp", "n")).alias("lead")).filter("lo != hi")
-        fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
         if turn < STAR_ROUNDS:
             led = p.join(open_lists.select("sig", "lead.*").toDF("sig", "lead", "lead_comp", "m"), "sig")
             led = led.filter((F.col("comp") != F.col("lead_comp")) & fits).groupBy(F.col("key").alias("u"), F.col("lead").alias("v")).agg(F.count("*").alias("c"))
-            if tested is not None:
-                led = led.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-            pairs = led.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
-        else:  # what is left: lists of several components
-            q = p.join(open_lists.select("sig"), "sig")
-            other = q.select("sig", F.col("key").alias("v"), F.col("n").alias("m"), F.col("comp").alias("comp_v"))
-            pairs = q.withColumnRenamed("key", "u").join(other, "sig").filter((F.col("u") > F.col("v")) & (F.col("comp") != F.col("comp_v")) & fits).select("u", "v").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        seen = _verified(pairs, sets, percent)
-        n, linked = seen.agg(F.count("*"), F.count_if("linked")).first()
-        tested = seen if tested is None else tested.union(seen)
-        if linked:
-            found = seen.filter("linked").select("u", "v")
-            links = found if comp is None else found.union(comp.select(F.col("key").alias("u"), F.col("comp").alias("v")))
-            comp = components(links).toDF("key", "comp")
-        if not n:
-            break
+            found = _verified(led.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")), sets, percent)
+        else:
+            found = _met_in_blocks(p.join(open_lists.select("sig"), "sig"), sets, percent)
+        if found.isEmpty():
+            continue
+        comp = joined(found)
     discard(posted, sets)
     if comp is None:
         comp = docs.sparkSession.createDataFrame([], "key binary, comp binary")

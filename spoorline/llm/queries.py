@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoorline.llm import ngramjoin
+from spoorline.llm import mixing, ngramjoin, quality
 from spoorline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,18 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query
+def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fails")
+    return quality.quality(table(spark, sf_dir, "documents")).select(*kept)
+
+
+ORACLES["op1_capped_water_filling"] = mixing.ORACLE
+ORACLES["op2_quality_ledger"] = quality.ORACLE
