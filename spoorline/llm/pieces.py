@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Stretches remembered by a worker, and their longest length.
-REMEMBERED, STRETCH = 100_000, 64
-PAIRS = 300_000
+REMEMBERED, STRETCH = 150_000, 64
+PAIRS = 1_000_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -57,7 +57,10 @@ class Pieces:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text = {i: p for p, i in self.id.items()}
         self.byte_of = {i: b for b, i in enumerate(self.byte)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Every end of every piece: what is not here can't be the end of a piece.
+        self.tails = {p[i:] for p in self.id for i in range(len(p))}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def merged(self, s: str) -> list[str]:
@@ -84,99 +87,116 @@ class Pieces:
             offer(i)
         return [p for p in part if p]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether b can be the piece after a."""
-        key = (a, b)
-        if (x := self.fits.get(key)) is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            x = self.fits[key] = self.merged(a + b) == [a, b]
-        return x
-
     def stream(self, text: str) -> Iterator[str]:
         """The pieces of a text, committed as soon as they are certain."""
-        size, done = self.longest, 0
-        last: dict[int, str] = {}  # place -> the piece that ends there
+        size, score, tails, fits = self.longest, self.score, self.tails, self.fits
+        done, left = 0, ""  # what is committed ends at done with the piece left
+        last: dict[int, str] = {}  # place -> the piece that ends there, on the one path to it
         for end in range(1, len(text) + 1):
-            best = None
-            for start in range(max(done, end - size), end):
+            start = end - 1
+            p = text[start:end]
+            while True:
+                if p in score or start == end - 1:
+                    before = last.get(start) if start > done else left if start == done else None
+                    if before is not None:
+                        ok = fits.get((before, p))
+                        if ok is None:
+                            ok = self.follows(before, p)
+                        if ok:
+                            last[end] = p
+                            break
+                start -= 1
+                if start < done:
+                    break
                 p = text[start:end]
-                if end - start > 1 and p not in self.score:
-                    continue
-                if start == done:
-                    ok = self.merged(p) == [p] if done == 0 or not self._left else self.follows(self._left, p)
-                else:
-                    ok = start in last and self.follows(last[start], p)
-                if ok:
-                    best = p
+                if p not in tails:
                     break
-            if best is None:  # nothing ends here
+            if end == len(text):
+                upto = end
+            elif end - done >= 4 * size:
+                upto = self._met(last, done, end)
+            else:
                 continue
-            last[end] = best
-            if end - done >= 2 * size or end == len(text):
-                # Boundaries on the path from each place that a later piece can start at.
-                paths = []
-                for place in range(end, max(done, end - size), -1) if end < len(text) else [end]:
-                    if place in last:
-                        path, at = [], place
-                        while at > done:
-                            path.append(at)
-                            at -= len(last[at])
-                        paths.append(path)
-                common = set.intersection(*map(set, paths))
-                if common:
-                    upto = max(common)
-                    for at in sorted(x for x in paths[0] if x <= upto):
-                        yield last[at]
-                    self._left = last[upto]
-                    done = upto
-                    last = {k: v for k, v in last.items() if k > upto}
-
-    _left = ""
-
-    def stretch(self, s: str) -> tuple[int, ...]:
-        """Ids of a stretch that begins and ends at certain boundaries."""
-        if (ids := self.known.get(s)) is None:
-            self._left, out = "", []
-            for p in self.stream(s):
-                i = self.id.get(p)
-                out += [i] if i is not None else [self.byte[b] for b in p.encode()] if self.byte[0] != self.unknown else [self.unknown]
-            ids = tuple(out)
-            if len(s) <= STRETCH:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[s] = ids
+            path, at = [], upto
+            while at > done:
+                path.append(last[at])
+                at -= len(last[at])
+            yield from reversed(path)
+            if upto > done:
+                done, left = upto, last[upto]
+                last = {k: v for k, v in last.items() if k > upto}
+
+    def _met(self, last: dict[int, str], done: int, end: int) -> int:
+        """The last boundary that the paths to all places from which a piece can start share."""
+        common: set[int] | None = None
+        for at in range(end, max(done, end - self.longest), -1):
+            if at in last:
+                path = set()
+                while at > done:
+                    path.add(at)
+                    at -= len(last[at])
+                common = path if common is None else common & path
+        return max(common or {done}, default=done)
+
+    def follows(self, a: str, b: str) -> bool:
+        """Whether b can be the piece after a; a is empty at the start."""
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        x = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        return x
+
+    def ids_of(self, pieces: Iterator[str]) -> array:
+        out = array("i")
+        for p in pieces:
+            if (i := self.id.get(p)) is not None:
+                out.append(i)
+            else:
+                out.extend([self.byte[b] for b in p.encode()] if self.byte[0] != self.unknown else [self.unknown])
+        return out
+
+    def stretch(self, s: str) -> bytes:
+        """Ids of a stretch that begins and ends at certain boundaries, as 4-byte numbers."""
+        ids = self.older.get(s) or self.ids_of(self.stream(s)).tobytes()
+        if len(s) <= STRETCH:
+            if len(self.known) >= REMEMBERED:
+                self.older = self.known
+                self.known = {}
+            self.known[s] = ids
         return ids
 
     def encode(self, text: str) -> array:
+        """The ids of a text."""
         out = array("i")
         if not text:
             return out
-        known, stretch, extend = self.known, self.stretch, out.extend
-        parts = (" " + text.replace(SPACE, " ")).split(" ")
-        head = 0
-        for w in parts[1:]:  # each was preceded by a space; empty ones belong to what follows
-            head += 1
+        stretch, parts, held = self.stretch, [], ""
+        for w in text.replace(SPACE, " ").split(" "):
             if w:
-                s = SPACE * head + w
-                head = 0
-                extend(known.get(s) or stretch(s))
-        if head:
-            extend(stretch(SPACE * head))
+                s = held + SPACE + w
+                parts.append(self.known.get(s) or stretch(s))
+                held = ""
+            else:
+                held += SPACE
+        if held:
+            parts.append(stretch(held))
+        out.frombytes(b"".join(parts))
         return out
 
     def decode(self, ids) -> str:
         text, byte_of = self.text, self.byte_of
+        try:
+            return "".join([text[i] for i in ids]).replace(SPACE, " ")[1:]
+        except KeyError:  # it holds bytes
+            pass
         out, held = [], bytearray()
         for i in ids:
-            p = text.get(i)
-            if p is None and i in byte_of:
+            if i in byte_of:
                 held.append(byte_of[i])
                 continue
             if held:
                 out.append(held.decode(errors="replace"))
                 held = bytearray()
-            out.append(p or "")
+            out.append(text.get(i, ""))
         if held:
             out.append(held.decode(errors="replace"))
         return "".join(out).replace(SPACE, " ")[1:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoorline.llm import mixing, ngramjoin, quality
+from spoorline.llm import langid, merkle, mixing, ngramjoin, pieces, quality, secrets, urls
 from spoorline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,28 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_capped_water_filling"] = mixing.ORACLE
 ORACLES["op2_quality_ledger"] = quality.ORACLE
+
+
+@query
+def op3_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), ids=False)
+
+
+@query
+def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_next(table(spark, sf_dir, "documents"))
