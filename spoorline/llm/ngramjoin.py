@@ -7,9 +7,10 @@ have a Jaccard similarity of at least 75 %. The join runs in these steps:
    get back how many of each text's shingles occur in any other text. A link needs at least
    three quarters of either set, so a text with fewer shared shingles has no partner and goes.
 2. Classes. Equal sets are one class from here on; its members are never paired.
-3. Candidates. Sets are ordered by shingle hash. A light set (few shingles) posts all fixed-size
-   subsets (pairs) of the start of its set; two similar light sets have such a subset in common.
-   A heavy set posts and scans the inverted lists of single shingles of the start of its set.
+3. Candidates. Shingles are ordered by how many sets hold them. A light set (few shingles) posts
+   all fixed-size subsets (pairs) of the start of its set; two similar light sets have such a
+   subset in common. A heavy set posts and scans the inverted lists of single shingles of the
+   start of its set. Shingles of one set alone are counted in, but need no list.
    The boundary is the size up to which the pairs of a set cost less than scanning its lists,
    from the mean length of all lists.
 4. Verification. First each class is compared with the one leader that it shares most lists with,
@@ -43,7 +44,7 @@ from spoorline.llm.components import components
 #: Similarity in hundredths, and how many hashes a bucket of step 1 holds about.
 PERCENT = 75
 BUCKET = 1_000_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Sets and shingles of a block of step 4 about.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
 
@@ -173,33 +174,97 @@ def light_boundary(mean_list: float, percent: int = PERCENT, most: int = 4096) -
     return int(n[fits].max(initial=0))
 
 
-def signatures(s: np.ndarray, boundary: int, percent: int = PERCENT) -> np.ndarray:
-    """What a set posts: pairs if it is light; single shingles if it is heavy or can meet one."""
+def signatures(s: np.ndarray, df: np.ndarray, boundary: int, percent: int = PERCENT) -> np.ndarray:
+    """What a set posts: pairs if it is light; single shingles if it is heavy or can meet one.
+
+    s holds the set in the common order, rare shingles first; df 0 marks those of this set alone,
+    which take their place in the start of the set but need no list.
+    """
     n = len(s)
     spare = n - int(least_overlap(n, percent))
     out = []
     if n <= boundary:
-        p = s[: spare + 2]
+        p = s[: spare + 2][df[: spare + 2] > 0]
         i, j = np.triu_indices(len(p), 1)
-        out.append(tc.mix(p[i] * tc.PLACE[0] + p[j] * tc.PLACE[1]))
+        a, b = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
+        out.append(tc.mix(a * tc.PLACE[0] + b * tc.PLACE[1]))
     if n > boundary or 100 * n >= percent * (boundary + 1):
-        out.append(tc.mix(s[: spare + 1] + tc.PLACE[2]))
+        out.append(tc.mix(s[: spare + 1][df[: spare + 1] > 0] + tc.PLACE[2]))
     return np.concatenate(out).view(np.int64)
 
 
-def _signed(boundary: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                sig = [signatures(np.frombuffer(x, tc.U64), boundary, percent) for x in part.column(2).to_pylist()]
-                n = [len(x) for x in sig]
-                rows = pa.array(np.repeat(np.arange(len(part)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int64)), part.column(0).take(rows), part.column(1).take(rows)], names=["sig", "key", "n"])
+def _by_bucket(pdf: pd.DataFrame, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's sets, its distinct 48-bit hashes by bucket, how many sets hold each, the buckets' bounds."""
+    sets = [np.frombuffer(x, tc.U64) for x in pdf["hashes"]]
+    h, c = np.unique(np.concatenate(sets) & tc.U64(0xFFFFFFFFFFFF), return_counts=True)
+    by = np.argsort(h % tc.U64(buckets), kind="stable")
+    h, c = h[by], c[by]
+    return sets, h, c, np.searchsorted((h % tc.U64(buckets)).astype(np.int64), np.arange(buckets + 1))
+
+
+def _count_out(buckets: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, h, c, cut = _by_bucket(pdf, buckets)
+        rows = [(k, int(pdf["chunk"].iloc[0]), tc.pack48(h[i:j]), c[i:j].astype(np.uint32).tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if i < j]
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "hashes", "counts"])
+
+    return run
+
+
+def _count_back(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk's hashes of a bucket a byte: 0 for one set in all, else the logarithm of their number."""
+    own = [tc.unpack48(x) for x in pdf["hashes"]]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)
+    every, at = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.bincount(at, counts, minlength=len(every))
+    level = np.minimum(np.where(total < 2, 0, 1 + 8 * np.log2(np.maximum(total, 2) / 2)), 255).astype(np.uint8)[at]
+    cut = np.cumsum([0] + [len(x) for x in own])
+    return pd.DataFrame({"bucket": pdf["bucket"], "chunk": pdf["chunk"], "levels": [level[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]})
+
+
+def _sign(buckets: int, boundary: int, percent: int):
+    def run(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"sig": [], "key": [], "n": []})
+        sets, h, _, _ = _by_bucket(pdf, buckets)
+        level = np.frombuffer(b"".join(back.sort_values("bucket")["levels"]), np.uint8)
+        order = np.argsort(h, kind="stable")
+        h, level = h[order], level[order]
+        sig = []
+        for s in sets:
+            df = level[np.searchsorted(h, s & tc.U64(0xFFFFFFFFFFFF))]
+            by = np.argsort(df, kind="stable")  # equally rare ones in the order of their hashes
+            sig.append(signatures(s[by], df[by], boundary, percent))
+        n = [len(x) for x in sig]
+        return pd.DataFrame({"sig": np.concatenate(sig), "key": np.repeat(pdf["key"].to_numpy(object), n), "n": np.repeat(pdf["n"].to_numpy(), n)})
 
     return run
 
 
+def posts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, n, hashes) -> (sig, key, n): the lists that hold more than one set.
+
+    Shingles are ordered by how many sets hold them, rare ones first, as counted over all sets;
+    passages that many texts share so come last, and seldom make a candidate.
+    """
+    size = sets.agg(F.sum("n"), F.count("*")).first()
+    total = size[0] or 0
+    buckets = max(partitions(sets.sparkSession), math.ceil(total / BUCKET))
+    chunked = sets.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(partitions(sets.sparkSession), math.ceil(total / BUCKET)))))
+    out = chunked.groupBy("chunk").applyInPandas(_count_out(buckets), "bucket int, chunk long, hashes binary, counts binary")
+    levels = written(out.groupBy("bucket").applyInPandas(_count_back, "bucket int, chunk long, levels binary"), "shingle-levels")
+
+    def signed(boundary: int) -> DataFrame:
+        return chunked.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(_sign(buckets, boundary, percent), "sig long, key binary, n long")
+
+    lists = signed(0).agg(F.count("*"), F.approx_count_distinct("sig")).first()
+    signs = signed(light_boundary(lists[0] / max(lists[1], 1), percent)).distinct()
+    many = signs.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
+    found = written(signs.join(many, "sig"), "jaccard-lists")
+    discard(levels)
+    return found
+
+
 # ---- step 4 -------------------------------------------------------------------------------
 
 
@@ -297,11 +362,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     chosen = classes.select(F.col("doc_id").alias("chosen")).distinct().hint("shuffle_hash")
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
     sets = written(texts.select("text").mapInArrow(_sets(width), "key binary, n long, hashes binary").filter("n > 0"), "shingle-sets")
-    lists = sets.mapInArrow(_signed(0, percent), "sig long, key binary, n long").agg(F.count("*"), F.approx_count_distinct("sig")).first()
-    boundary = light_boundary(lists[0] / max(lists[1], 1), percent)
-    signed = sets.mapInArrow(_signed(boundary, percent), "sig long, key binary, n long").distinct()
-    shared = signed.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
-    posted = written(signed.join(shared, "sig"), "jaccard-lists")
+    posted = posts(sets, percent)
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
     comp = None
