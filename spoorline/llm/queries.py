@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from spoorline.llm import langid, merkle, mixing, ngramjoin, pieces, pii, quality, secrets, substrings, urls
 from spoorline.llm.common import table
 
@@ -71,3 +72,8 @@ def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
