@@ -1,0 +1,97 @@
+"""Text functions of the event log and the policies: redaction, digests, globs, templates, headers."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Mapping
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Keys whose values are never logged, and what stands for them.
+SENSITIVE_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "credential", "access_key", "private_key")
+REDACTED = "[REDACTED]"
+LONGEST_TEXT, LONGEST_LIST = 2000, 100
+HEADER_KEYS = ("source", "target", "owner", "grain", "schedule", "dependencies", "description")
+
+
+def redact(text: Column) -> Column:
+    """Credentials in urls, authorization values and key=value secrets become [REDACTED]."""
+    out = F.regexp_replace(text, r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@ \t\n:]+:[^/@ \t\n]+@", "$1" + REDACTED + "@")
+    out = F.regexp_replace(out, r"(?i)(bearer|basic) +[A-Za-z0-9._~+/=-]+", "$1 " + REDACTED)
+    return F.regexp_replace(out, r"(?i)(password|passwd|secret|token|api_?key|access_key|private_key)( *[=:] *)[^ ,;&\t\n]+", "$1$2" + REDACTED)
+
+
+#: The same in RE2's and DuckDB's notation.
+REDACT_SQL = r"""regexp_replace(regexp_replace(regexp_replace({0}, '([A-Za-z][A-Za-z0-9+.-]*://)[^/@ \t\n:]+:[^/@ \t\n]+@', '\1[REDACTED]@', 'g'),
+ '(?i)(bearer|basic) +[A-Za-z0-9._~+/=-]+', '\1 [REDACTED]', 'g'), '(?i)(password|passwd|secret|token|api_?key|access_key|private_key)( *[=:] *)[^ ,;&\t\n]+', '\1\2[REDACTED]', 'g')"""
+
+
+def redact_value(key: Column, value: Column) -> Column:
+    """The value of a field, hidden altogether under a sensitive key."""
+    return F.when(F.lower(key).rlike("|".join(SENSITIVE_KEYS)), F.lit(REDACTED)).otherwise(redact(value))
+
+
+def truncate(text: Column, longest: int = LONGEST_TEXT) -> Column:
+    return F.when(F.char_length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("..."))).otherwise(text)
+
+
+def first_of_list(items: Column, most: int = LONGEST_LIST) -> tuple[Column, Column]:
+    """The first items of a list, and how many were left out."""
+    return F.slice(items, 1, most), F.greatest(F.size(items) - most, F.lit(0))
+
+
+def digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a path glob: * and ? within a name too, ** across folders."""
+    out = []
+    for part in re.split(r"(\*\*/|\*\*|\*|\?)", glob):
+        out.append({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part)))
+    return "^" + "".join(out) + "$"
+
+
+def in_scope(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
+    """Whether a path is included and not excluded; no globs include everything."""
+    any_of = lambda globs: path.rlike("|".join(map(glob_pattern, globs)))
+    inside = any_of(include) if include else F.lit(True)
+    return inside & ~any_of(exclude) if exclude else inside
+
+
+def bind_templates(text: Column, bindings: Mapping[str, str]) -> Column:
+    """{{ name }} and ${name} replaced by their values."""
+    for name, value in sorted(bindings.items()):
+        key = re.escape(name)
+        text = F.regexp_replace(text, r"\{\{\s*" + key + r"\s*\}\}|\$\{" + key + r"\}", value.replace("\\", "\\\\").replace("$", "\\$"))
+    return text
+
+
+def template_holes(text: Column) -> Column:
+    """The names of placeholders that are still there."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\{[^}]*\}\}|\$\{[^}]*\}|\{%[^%]*%\}"), F.lit(0)))
+
+
+def header(text: Column) -> Column:
+    """Key: value lines of the comment block that a text begins with, as a map; the first value counts."""
+    block = F.regexp_extract(text, r"^((?:[ \t]*(?:--|#)[^\n]*(?:\n|$)|[ \t]*\n)*)", 1)
+    lines = F.transform(F.split(block, "\n"), lambda x: F.regexp_extract(x, r"^\s*(?:--|#)[-# ]*(.*?)\s*$", 1))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([A-Za-z][A-Za-z _]*):\s*(.+)$", 1))).alias("key"), F.regexp_extract(x, r"^([A-Za-z][A-Za-z _]*):\s*(.+)$", 2).alias("value")))
+    known = F.filter(pairs, lambda p: p["key"].isin(*HEADER_KEYS))
+    first = F.filter(known, lambda p, i: ~F.exists(F.slice(known, F.lit(1), i), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(first)
+
+
+def valid_repository_url(url: Column) -> Column:
+    """https://host/owner/name, without credentials, query or fragment."""
+    return url.rlike(r"^https://[A-Za-z0-9.-]+/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?(?:\.git)?/?$") & ~url.contains("..")
+
+
+def valid_gateway_url(url: Column) -> Column:
+    """https anywhere, http on the own machine only; no credentials."""
+    return url.rlike(r"^https://[^/@\s?#]+(/[^\s?#]*)?$") | url.rlike(r"^http://(localhost|127\.0\.0\.1|\[::1\])(:[0-9]+)?(/[^\s?#]*)?$")
+
+
+def valid_header(name: Column, value: Column) -> Column:
+    return name.rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+$") & ~value.rlike(r"[\r\n\x00]")
