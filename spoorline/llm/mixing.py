@@ -30,6 +30,8 @@ MOST_EPOCHS = 3
 SEED = "mix-1"
 #: Bits of the random order, and of its slices.
 ORDER_BITS, SLICE_BITS = 52, 16
+#: Tasks that the rows of one source spread over when they meet their target.
+SALTS = 64
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
@@ -83,7 +85,10 @@ def mix(docs: DataFrame, size: Column | None = None, cycle: Sequence[float] = CY
     point = run.filter((F.col("before") < F.col("part")) & (F.col("before") + F.col("size") >= F.col("part")))
     point = point.groupBy("of").agg(F.min(F.struct("slice", "before")).alias("at"))
     plan2 = plan2.join(point.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").drop("of2")
-    df = df.join(plan2, F.col("source").eqNullSafe(F.col("of"))).withColumn("slice", F.floor(F.col("u") / cut).cast("long"))
+    # A hot source's rows go to SALTS tasks: the table of sources is repeated, not the documents.
+    salted = plan2.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    df = df.withColumn("own_salt", F.pmod(F.col("u"), F.lit(SALTS)).cast("int"))
+    df = df.join(salted, F.col("source").eqNullSafe(F.col("of")) & (F.col("own_salt") == F.col("salt"))).withColumn("slice", F.floor(F.col("u") / cut).cast("long"))
     inside = df.filter(F.col("slice") == F.col("at.slice"))
     outside = df.filter(F.col("at").isNull() | (F.col("slice") != F.col("at.slice")))
     run_up = F.coalesce(F.sum("size").over(Window.partitionBy("of").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
