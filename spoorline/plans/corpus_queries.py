@@ -1,3 +1,143 @@
-"""Queries over a small authored corpus of sources; their SQL lists what a reader derives by hand."""
+"""Queries over the authored corpus; their SQL lists what a reader derives from it by hand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spoorline import api
+from spoorline.functions import cron
+from spoorline.plans.corpus import FILES
+from spoorline.sources.products import read_products
 
 ENTRIES: dict = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        ENTRIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def scanned(spark: SparkSession) -> api.Scan:
+    """The corpus as scan() reads it, from memory."""
+    context = api.Context(spark, lambda _: None, {}, None, "athena", FILES)
+    rows = {k: [] for k in [*api.SCHEMAS, "comment_schedules"]}
+    for k, v in read_products({p: t for p, t in FILES.items() if p.endswith("product.yaml")}).items():
+        rows[k] += v
+    for path, text in sorted(FILES.items()):
+        for r in api.READERS:
+            if r.accepts(path, text):
+                for k, v in r.read(path, text, context).items():
+                    rows[k] += v
+    return api.assembled(spark, rows)
+
+
+def _edges(spark: SparkSession, *files: str) -> DataFrame:
+    refs = F.array_join(F.transform("sources", lambda r: F.concat_ws("#", r["dataset"], r["column"])), ",")
+    indirect = F.array_join(F.transform("indirect", lambda r: F.concat(F.substring_index(r["dataset"], "/", -1), F.lit("."), r["column"], F.lit(":"), r["role"])), ",")
+    e = scanned(spark).column_edges
+    e = e.filter(F.col("source_file").isin(*files))
+    return e.select("target", "target_column", refs.alias("sources"), indirect.alias("indirect"), "kind", "confidence")
+
+
+@query("""SELECT * FROM (VALUES
+ ('glue://stage/orders', 'order_id', 'glue://shop/orders#order_id', 'identity', 'exact'),
+ ('glue://stage/orders', 'status', 'glue://shop/orders#status', 'expression', 'exact'),
+ ('glue://stage/orders', 'amount_eur', 'glue://shop/orders#amount,glue://shop/rates#rate', 'expression', 'exact'),
+ ('glue://stage/orders', 'channel', '', 'expression', 'exact'),
+ ('glue://mart/revenue', 'order_id', 'glue://stage/orders#order_id', 'identity', 'exact'),
+ ('glue://mart/revenue', 'revenue', 'glue://stage/orders#amount_eur', 'aggregation', 'exact'),
+ ('glue://mart/revenue', 'place', 'glue://shop/customers#tier', 'window', 'exact')) t(target, target_column, sources, kind, confidence)""")
+def sql_column_lineage(spark, d):
+    return _edges(spark, "sql/orders_clean.sql", "sql/revenue.sql").drop("indirect")
+
+
+@query("""SELECT 'glue://stage/orders' AS target, c AS target_column, 'orders.deleted:filter,orders.currency:join,rates.currency:join' AS indirect FROM (VALUES ('order_id'), ('status'), ('amount_eur'), ('channel')) v(c)
+ UNION ALL SELECT 'glue://mart/revenue', c, 'orders.status:filter,orders.amount_eur:filter,orders.order_id:join,customers.last_order:join,orders.order_id:aggregation,customers.tier:aggregation' FROM (VALUES ('order_id'), ('revenue'), ('place')) v(c)""")
+def sql_indirect_lineage(spark, d):
+    return _edges(spark, "sql/orders_clean.sql", "sql/revenue.sql").select("target", "target_column", "indirect")
+
+
+@query("""SELECT * FROM (VALUES
+ ('glue://mart/customers', 'name', 'glue://stage/changes#new_name,glue://stage/changes#first_name', 'identity'),
+ ('glue://mart/customers', 'id', 'glue://stage/changes#id', 'identity'),
+ ('glue://mart/customers', 'tier', 'glue://stage/tiers#tier', 'identity')) t(target, target_column, sources, kind)""")
+def merge_update_lineage(spark, d):
+    return _edges(spark, "sql/merge_dim.sql").select("target", "target_column", "sources", "kind")
+
+
+@query("""SELECT * FROM (VALUES
+ ('glue://default/recent', 'id', 'glue://shop/visits#id', 'visits.day:filter'),
+ ('glue://default/recent', 'day', 'glue://shop/visits#day', 'visits.day:filter'),
+ ('glue://mart/visits', 'visitor', 'glue://shop/visits#id', 'visits.day:filter,visits.id:aggregation'),
+ ('glue://mart/visits', 'last_day', 'glue://shop/visits#day', 'visits.day:filter,visits.id:aggregation')) t(target, target_column, sources, indirect)""")
+def temp_table_lineage(spark, d):
+    return _edges(spark, "sql/temp.sql").select("target", "target_column", "sources", "indirect")
+
+
+@query("""SELECT * FROM (VALUES
+ ('glue://mart/features', 'country', 'glue://shop/customers#country', 'identity', 'exact'),
+ ('glue://mart/features', 'total', '', 'aggregation', 'partial'),
+ ('file:///out/share.parquet', 'share', 's3://lake/visits#visits,s3://lake/visits#total', 'expression', 'exact')) t(target, target_column, sources, kind, confidence)""")
+def frame_column_lineage(spark, d):
+    return _edges(spark, "jobs/features.py", "jobs/export.py").drop("indirect")
+
+
+@query("""SELECT * FROM (VALUES
+ ('jobs/export.py', 3, 'pd.read_parquet', 'read', 's3://lake/visits', true), ('jobs/export.py', 5, 'to_csv', 'write', '/out/today.csv', true), ('jobs/export.py', 6, 'to_parquet', 'write', '/out/share.parquet', true),
+ ('jobs/features.py', 2, 'spark.table', 'read', 'stage.orders', true), ('jobs/features.py', 12, 'spark.table', 'read', 'shop.customers', true), ('jobs/features.py', 16, 'write.saveAsTable', 'write', 'mart.features', true),
+ ('jobs/features.py', 17, 'spark.table', 'read', 'mart.visits', true), ('jobs/features.py', 17, 'write.parquet', 'write', 's3a://lake/visits', true)) t(source_file, line, callee, direction, value, complete)""")
+def sink_references(spark, d):
+    r = scanned(spark).facts["references"].filter("source_file LIKE 'jobs/%'")
+    return r.select("source_file", "line", "callee", "direction", "value", "complete").distinct()
+
+
+@query("""SELECT * FROM (VALUES ('shop', '@daily', '0 0 * * *', 'airflow', 'sales'), ('feeds', '0 */2 * * *', '0 */2 * * *', 'airflow', NULL),
+ ('comment.sql/orders_clean', 'daily 06:30 UTC', '30 6 * * *', 'cron_comment', NULL), ('product.shop.__primary__', 'every 2 hours', '0 */2 * * *', 'product_yaml', NULL)) t(id, interval_text, cron, orchestrator, owner)""")
+def airflow_schedules(spark, d):
+    return scanned(spark).schedules.select("id", "interval_text", "cron", "orchestrator", "owner")
+
+
+@query("""SELECT * FROM (VALUES ('shop.gate', 'shop.clean'), ('shop.clean', 'shop.revenue'), ('shop.clean', 'shop.features'), ('feeds.pull', 'shop.gate')) t(src, dst)""")
+def airflow_task_edges(spark, d):
+    return scanned(spark).task_edges
+
+
+@query("""SELECT * FROM (VALUES
+ ('sql/revenue', 'sql/orders_clean', 'dag,data'), ('jobs/features', 'sql/orders_clean', 'dag,data'), ('sql/orders_clean', 'feeds.pull', 'dag'), ('sql/revenue', 'feeds.pull', 'dag'),
+ ('jobs/features', 'feeds.pull', 'dag'), ('sql/merge_dim', 'feeds.pull', 'data'), ('jobs/features', 'sql/temp', 'data'), ('jobs/export', 'jobs/features', 'data')) t(job_id, upstream, sources)""")
+def corpus_job_dependencies(spark, d):
+    return scanned(spark).job_dependencies.select("job_id", "upstream", F.array_join("sources", ",").alias("sources"))
+
+
+@query("""SELECT * FROM (VALUES ('sql/orders_clean', 'shop', 'shop'), ('sql/revenue', 'shop', 'shop'), ('sql/merge_dim', 'shop', 'product.shop.__primary__'), ('sql/temp', 'shop', 'product.shop.__primary__'),
+ ('jobs/features', 'shop', 'shop'), ('jobs/export', 'shop', 'product.shop.__primary__'), ('feeds.pull', 'shop', 'feeds')) t(job_id, product, schedule_id)""")
+def corpus_job_products(spark, d):
+    return scanned(spark).jobs.select("job_id", "product", "schedule_id")
+
+
+@query("""SELECT * FROM (VALUES ('glue://mart/revenue', 1), ('glue://mart/features', 1)) t(node, hop)""")
+def corpus_impact(spark, d):
+    return scanned(spark).impact("glue://stage/orders")
+
+
+@query("""SELECT * FROM (VALUES ('@daily', '0 0 * * *'), ('@once', NULL), ('hourly', '0 * * * *'), ('daily 7:05', '5 7 * * *'), ('daily 25:00', NULL), ('every 15 minutes', '*/15 * * * *'), ('every 7 minutes', NULL),
+ ('every 6 hours', '0 */6 * * *'), ('every 1 day', '0 0 * * *'), ('every 2 days', NULL), ('0  6 * * MON-FRI', '0 6 * * MON-FRI'), ('61 * * * *', NULL), ('*/5 0-12 1,15 JAN *', '*/5 0-12 1,15 JAN *'),
+ ('5-1 * * * *', NULL), ('* * * *', NULL), ('timedelta(days=1)', NULL), ('@quarterly', '0 0 1 */3 *')) t(interval_text, cron)""")
+def cron_normalize(spark, d):
+    texts = "@daily|@once|hourly|daily 7:05|daily 25:00|every 15 minutes|every 7 minutes|every 6 hours|every 1 day|every 2 days|0  6 * * MON-FRI|61 * * * *|*/5 0-12 1,15 JAN *|5-1 * * * *|* * * *|timedelta(days=1)|@quarterly"
+    df = spark.createDataFrame([(t,) for t in texts.split("|")], "interval_text string")
+    return df.withColumn("cron", cron.normalize_cron(F.col("interval_text")))
+
+
+@query("""SELECT * FROM (VALUES ('{{?}}_x', false, 'name'), ('a_b', true, ''), ('p.q', true, ''), ('n=003', true, '')) t(text, complete, symbols)""")
+def folded_strings(spark, d):
+    import ast
+
+    from spoorline.plans.strings import fold
+
+    made = [fold(ast.parse(t, mode="eval").body, {}) for t in ("f'{name}_x'", "'a' + '_' + 'b'", "'.'.join(['p', 'q'])", "'n={:03d}'.format(3)")]
+    return spark.createDataFrame([(f.text, f.complete, ",".join(f.symbols)) for f in made], "text string, complete boolean, symbols string")
