@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Rows without shingles have no group and stay; of rows that repeat an id within a group one stays.
+    Rows without shingles or without an id stay; rows that repeat an id stay or go together.
     """
     found = ngramjoin.near_duplicates(docs.select("doc_id", "text"))
     gone = found.filter("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
