@@ -129,7 +129,7 @@ class Parser:
                 bad = np.flatnonzero(nxt < 0)
                 if len(bad):
                     again = t[c[bad]]
-                    ph[bad] += (st[bad] != 0) + (again < 0)
+                    ph[bad] += (st[bad] != 0).astype(np.int32) + (again < 0)
                     nxt[bad] = np.maximum(again, 0)
                 st[:m] = nxt
         for j, (st, ph) in enumerate(zip(state, count)):

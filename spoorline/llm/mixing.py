@@ -59,7 +59,8 @@ def water_fill(sources: DataFrame, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     df = df.withColumn("level", level)
     # The first source in order that does not stop gives the level for all that follow.
-    df = df.withColumn("fill", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(every))
+    df = df.withColumn("place", F.row_number().over(by))
+    df = df.withColumn("fill", F.min_by("level", F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("place"))).over(every))
     target = F.when(F.col("fill").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("fill")))
     return df.select("source", "source_size", "weight", target.alias("target"))
 
@@ -109,7 +110,8 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ()) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
    / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM w),
-f AS (SELECT *, min(CASE WHEN cap / weight >= level THEN level END) OVER () AS fill FROM l),
+n AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source ASC NULLS LAST) AS place FROM l),
+f AS (SELECT *, (SELECT arg_min(level, place) FROM n WHERE cap / weight >= level) AS fill FROM n),
 t AS (SELECT source, source_size, CASE WHEN fill IS NULL THEN cap ELSE least(cap, weight * fill) END AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 r AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS part,
