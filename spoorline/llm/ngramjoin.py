@@ -397,3 +397,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     tops = named.groupBy("top").agg(F.min("least").alias("component_id"), F.sum("c").alias("c"))
     ids = named.join(tops.filter("c > 1").drop("c"), "top").select("key", "component_id")
     return ledger.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id"))
+
+
+#: The same rows of the query over documents, for an independent engine.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [md5(array_to_string(w, ' '))]
+   ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) END) AS h FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b USING (h) WHERE a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r, r AS at FROM d UNION SELECT c.r, e.v FROM c JOIN e ON e.u = c.at)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(f.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r JOIN c ON c.r = d.r JOIN d f ON f.r = c.at GROUP BY d.r, d.doc_id
+"""

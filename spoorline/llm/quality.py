@@ -131,7 +131,7 @@ def quality(docs: DataFrame, policy: str = "prose-1") -> DataFrame:
 #: The same rows of the query over documents, for an independent engine.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-g AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), i -> md5(array_to_string(w[i:i + 7], ' ')))) AS v FROM d WHERE len(w) >= 8),
+g AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' ')))) AS v FROM d WHERE len(w) >= 8),
 x AS (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS c FROM g),
 y AS (SELECT r, i, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS s FROM x WHERE c > 1),
 z AS (SELECT r, sum(s) AS n FROM y GROUP BY r),

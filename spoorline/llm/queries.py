@@ -37,6 +37,8 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_capped_water_filling"] = mixing.ORACLE
 ORACLES["op2_quality_ledger"] = quality.ORACLE
+ORACLES["op7_blob_ledger_secrets"] = secrets.ORACLE
+ORACLES["op9_ngram_jaccard_join"] = ngramjoin.ORACLE
 
 
 @query

@@ -138,3 +138,21 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: str = "secret
     return df.select(*docs.columns)
 
 
+
+
+#: The same rows of the query over documents, for an independent engine.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT * FROM (VALUES
+  ('assign', 0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?', 6),
+  ('access', 1, 'AKIA[A-Z0-9]+', '', 20), ('hex', 2, '[0-9a-f]+', '', 24), ('pem', 3, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', '', 1),
+  ('jwt', 4, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', '', 1),
+  ('token', 5, '(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})', '', 1)) v(kind, place, pattern, head, least)),
+m AS (SELECT r, kind, place, head, least, regexp_extract_all(t, pattern) AS f, string_split_regex(t, pattern) AS g FROM d, k WHERE regexp_matches(t, pattern)),
+x AS (SELECT r, kind, place, head, least, list_transform(f, lambda x: length(x)) AS fl, list_transform(g, lambda x: length(x)) AS gl, f, unnest(range(1, len(f) + 1)) AS i FROM m),
+y AS (SELECT r, kind, place, f[i] AS s, list_sum(gl[1:i]) + coalesce(list_sum(fl[1:i - 1]), 0) AS lo, fl[i] AS n FROM x WHERE length(CASE WHEN head = '' THEN f[i] ELSE regexp_replace(f[i], head, '') END) >= least),
+z AS (SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+  string_agg(kind || ':' || CAST(lo AS BIGINT) || ':' || CAST(lo + n AS BIGINT), ',' ORDER BY lo, place) FILTER (place < 3) AS base,
+  string_agg(kind || ':' || CAST(lo AS BIGINT) || ':' || CAST(lo + n AS BIGINT), ',' ORDER BY lo, place) AS spans FROM y GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN z USING (r)
+"""
