@@ -9,8 +9,7 @@ import uuid
 from collections.abc import Mapping
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.identity import agent_table_name
@@ -53,10 +52,11 @@ def lineage_fields(refs: DataFrame) -> DataFrame:
     return by.select("job_id", "output", "field", "input", "input_field", "type", F.when(F.col("type") == "DIRECT", sub).otherwise(F.lit("")).alias("subtype"))
 
 
-@F.pandas_udf("string")
-def run_id(names: pd.Series) -> pd.Series:
-    """A name's version-5 UUID: the same for every export of the same job."""
-    return names.map(lambda n: str(uuid.uuid5(uuid.NAMESPACE_URL, n)))
+def run_id(name: Column) -> Column:
+    """A name's version-5 UUID in the URL namespace: the same for every export of the same job."""
+    h = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(name, "UTF-8")))
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
 def lineage_events(jobs: DataFrame, fields: DataFrame, datasets: DataFrame, namespace: str = "lineage") -> DataFrame:
@@ -67,7 +67,7 @@ def lineage_events(jobs: DataFrame, fields: DataFrame, datasets: DataFrame, name
     schema = datasets.select(F.col("id").alias("output"), F.col("columns").alias("schema"))
     per_job = per_output.join(schema, "output", "left").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("output", "schema", "columnLineage"))).alias("outputs"))
     out = jobs.select("job_id", "inputs").join(per_job, "job_id", "left")
-    event = F.struct(F.lit("COMPLETE").alias("eventType"), F.lit("1970-01-01T00:00:00Z").alias("eventTime"), F.struct(run_id("job_id").alias("runId")).alias("run"), F.struct(F.lit(namespace).alias("namespace"), F.col("job_id").alias("name")).alias("job"), F.array_sort("inputs").alias("inputs"), "outputs")
+    event = F.struct(F.lit("COMPLETE").alias("eventType"), F.lit("1970-01-01T00:00:00Z").alias("eventTime"), F.struct(run_id(F.col("job_id")).alias("runId")).alias("run"), F.struct(F.lit(namespace).alias("namespace"), F.col("job_id").alias("name")).alias("job"), F.array_sort("inputs").alias("inputs"), "outputs")
     return out.select("job_id", F.to_json(event).alias("event"))
 
 

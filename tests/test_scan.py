@@ -2,6 +2,7 @@
 
 import json
 import os
+import uuid
 import zipfile
 
 import pytest
@@ -52,6 +53,7 @@ def test_exports(scanned, tmp_path):
     events = {r["job_id"]: json.loads(r["event"]) for r in scanned.to_events().collect()}
     fields = {f["field"]: f["inputFields"] for o in events["sql/revenue"]["outputs"] for f in o["columnLineage"]}
     assert {"dataset": "glue://stage/orders", "field": "amount_eur", "type": "DIRECT", "subtype": "AGGREGATION"} in fields["revenue"]
+    assert events["sql/revenue"]["run"]["runId"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "sql/revenue"))
     folder = exports.write_artifacts(tmp_path, {"a.json": "{}"}, "r1")
     assert json.loads((folder / "manifest.json").read_text())["files"].keys() == {"a.json"}
 
