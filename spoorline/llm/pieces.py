@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Stretches remembered by a worker, and their longest length.
-REMEMBERED, STRETCH = 150_000, 64
+REMEMBERED, STRETCH = 250_000, 64
 PAIRS = 1_000_000
 
 
@@ -45,6 +45,7 @@ class Pieces:
     """A model's pieces: exact merges of short strings, and the streaming search."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,8 +58,12 @@ class Pieces:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text = {i: p for p, i in self.id.items()}
         self.byte_of = {i: b for b, i in enumerate(self.byte)}
-        #: Every end of every piece: what is not here can't be the end of a piece.
-        self.tails = {p[i:] for p in self.id for i in range(len(p))}
+        #: Finds all pieces that end at each place of a text, in one pass.
+        self.found = ahocorasick.Automaton()
+        for piece in self.id:
+            self.found.add_word(piece, piece)
+        self.found.make_automaton()
+        self.alone = frozenset(p for p in self.id if len(p) == 1)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -87,44 +92,75 @@ class Pieces:
             offer(i)
         return [p for p in part if p]
 
+    def ends(self, text: str) -> Iterator[tuple[int, str]]:
+        """(place, piece) for each piece and unknown character that ends there, places in order."""
+        if self.alone.issuperset(text):
+            yield from ((i + 1, p) for i, p in self.found.iter(text))
+            return
+        at = 0
+        for i, p in self.found.iter(text):
+            while at <= i:  # characters come first, so that each place has one
+                at += 1
+                if text[at - 1] not in self.alone:
+                    yield at, text[at - 1]
+            yield i + 1, p
+        for k in range(at, len(text)):
+            if text[k] not in self.alone:
+                yield k + 1, text[k]
+
+    def short(self, text: str) -> list[str]:
+        """The pieces of a text that fits the window: one path leads to its end."""
+        fits, last = self.fits, {0: ""}
+        for end, p in self.ends(text):
+            if end not in last:
+                before = last.get(end - len(p))
+                if before is not None:
+                    ok = fits.get((before, p))
+                    if ok or ok is None and self.follows(before, p):
+                        last[end] = p
+        out, at = [], len(text)
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        out.reverse()
+        return out
+
     def stream(self, text: str) -> Iterator[str]:
-        """The pieces of a text, committed as soon as they are certain."""
-        size, score, tails, fits = self.longest, self.score, self.tails, self.fits
-        done, left = 0, ""  # what is committed ends at done with the piece left
-        last: dict[int, str] = {}  # place -> the piece that ends there, on the one path to it
-        for end in range(1, len(text) + 1):
-            start = end - 1
-            p = text[start:end]
-            while True:
-                if p in score or start == end - 1:
-                    before = last.get(start) if start > done else left if start == done else None
-                    if before is not None:
-                        ok = fits.get((before, p))
-                        if ok is None:
-                            ok = self.follows(before, p)
-                        if ok:
-                            last[end] = p
-                            break
-                start -= 1
-                if start < done:
-                    break
-                p = text[start:end]
-                if p not in tails:
-                    break
-            if end == len(text):
-                upto = end
-            elif end - done >= 4 * size:
-                upto = self._met(last, done, end)
-            else:
-                continue
-            path, at = [], upto
-            while at > done:
-                path.append(last[at])
-                at -= len(last[at])
-            yield from reversed(path)
-            if upto > done:
-                done, left = upto, last[upto]
-                last = {k: v for k, v in last.items() if k > upto}
+        """The pieces of a text, committed as soon as they are certain.
+
+        last holds the window: for each place the piece that ends there on the one path to it.
+        """
+        size, fits = self.longest, self.fits
+        if len(text) <= 4 * size:
+            yield from self.short(text)
+            return
+        done, last = 0, {0: ""}
+        now = 0
+        for end, p in self.ends(text):
+            if end != now:
+                now = end
+                if end - done >= 4 * size:
+                    upto = self._met(last, done, end - 1)
+                    yield from self._path(last, done, upto)
+                    if upto > done:
+                        done = upto
+                        last = {k: v for k, v in last.items() if k >= upto}
+            if end not in last:
+                before = last.get(end - len(p))
+                if before is not None:
+                    ok = fits.get((before, p))
+                    if ok or ok is None and self.follows(before, p):
+                        last[end] = p
+        yield from self._path(last, done, len(text))
+
+    @staticmethod
+    def _path(last: dict[int, str], done: int, upto: int) -> list[str]:
+        out = []
+        while upto > done:
+            out.append(last[upto])
+            upto -= len(last[upto])
+        out.reverse()
+        return out
 
     def _met(self, last: dict[int, str], done: int, end: int) -> int:
         """The last boundary that the paths to all places from which a piece can start share."""
