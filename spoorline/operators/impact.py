@@ -19,7 +19,8 @@ def hops(edges: DataFrame, start: str, direction: str = "downstream", max_depth:
     if direction not in ("downstream", "upstream"):
         raise ValueError(f"no such direction: {direction}")
     ends = edges.select("src", "dst") if direction == "downstream" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    if edges.filter((F.col("src") == start) | (F.col("dst") == start)).isEmpty():
+    ends = settled(ends)  # every round reads them again
+    if ends.filter((F.col("src") == start) | (F.col("dst") == start)).isEmpty():
         raise KeyError(f"no such node: {start}")
     seen = front = edges.sparkSession.createDataFrame([(start, 0)], "node string, hop int")
     hop = 0
