@@ -27,7 +27,7 @@ RULES: dict[str, tuple[int, str]] = {
     "too_few_words": (0, "n_words < 20"),
     "repeated_windows": (1, "100 * n_repeat_words > 30 * n_words"),
     "symbols": (2, "100 * n_symbols > 10 * n_words"),
-    "repeated_lines": (3, "100 * n_dup_lines > 30 * n_lines"),
+    "repeated_lines": (3, "n_dup_lines >= 2 AND 100 * n_dup_lines > 40 * n_lines"),
     "word_length": (4, "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     "few_distinct_words": (5, "n_words >= 50 AND 100 * n_distinct_words < 3 * n_words"),
     "exclaiming": (6, "100 * n_exclaims > 30 * n_words"),
@@ -142,7 +142,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
       coalesce(z.n, 0)::BIGINT AS n_repeat_words, len(list_distinct(w))::BIGINT AS n_distinct_words, len(regexp_extract_all(t, '!'))::BIGINT AS n_exclaims
       FROM d LEFT JOIN z USING (r) LEFT JOIN l USING (r)),
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
-      + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+      + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines >= 2 AND 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END
       + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END
       + CASE WHEN n_words >= 50 AND 100 * n_distinct_words < 3 * n_words THEN 32 ELSE 0 END
       + CASE WHEN 100 * n_exclaims > 30 * n_words THEN 64 ELSE 0 END)::BIGINT AS fails FROM m)
