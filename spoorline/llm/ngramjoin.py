@@ -13,16 +13,16 @@ have a Jaccard similarity of at least 75 %. The join runs in these steps:
    start of its set. Shingles of one set alone are counted in, but need no list.
    The boundary is the size up to which the pairs of a set cost less than scanning its lists,
    from the mean length of all lists.
-4. Verification. First each class is compared with the one leader that it shares most lists with,
-   and lists that lie within one component close: thousands of near copies cost one comparison
-   each. Sets that open lists still connect meet in blocks of bounded size, every two blocks of
-   a connected part in one task, where inverted lists give the exact overlap of every two sets.
-   A set so travels once for each block it meets, and no pair of documents is ever a row.
+4. Verification. Sets that lists connect meet in blocks of bounded size, every two blocks of a
+   connected part in one task, where inverted lists give the exact overlap of every two sets.
+   Every pair of classes in a common list is so verified once. jaccard_links() returns all pairs
+   of classes that link; jaccard_classes() sums each class's links within the tasks, so that
+   thousands of near copies make no row for each pair. A set travels once for each block it meets.
 
 Shingles are compared by 64-bit hash. Null or empty texts, and texts without words, have an
 empty set and no link. Rows that repeat a doc_id are documents of their own; the component's
 name is the smallest doc_id that it holds (nulls count only where there is nothing else).
-Ties between leaders fall to the greater key. Other columns of the input are not read.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -44,9 +44,10 @@ from spoorline.llm.components import components
 #: Similarity in hundredths, and how many hashes a bucket of step 1 holds about.
 PERCENT = 75
 BUCKET = 1_000_000
-STAR_ROUNDS = 1
 #: Sets and shingles of a block of step 4 about.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
+#: Lists of a block longer than this are counted by a product of matrices, so many lists at once.
+LONG_LIST, AT_ONCE = 64, 4096
 
 
 def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
@@ -268,28 +269,6 @@ def posts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 # ---- step 4 -------------------------------------------------------------------------------
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(a.as_buffer(), tc.U64), np.frombuffer(b.as_buffer(), tc.U64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                o = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of keys that link."""
-    a = sets.select(F.col("key").alias("u"), F.col("hashes").alias("hu"))
-    b = sets.select(F.col("key").alias("v"), F.col("hashes").alias("hv"))
-    return written(pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "hu", "hv").mapInArrow(_verify(percent), "u binary, v binary"), "jaccard-links")
-
-
 def _overlaps(s: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of sets with something in common and their overlaps, by scanning inverted lists."""
     k = len(s)
@@ -303,59 +282,77 @@ def _overlaps(s: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     two = cut[:-1][length == 2]
     if len(two):
         count += np.bincount(who[two] * k + who[two + 1], minlength=k * k).reshape(k, k).astype(np.int32)
-    for a, n in zip(cut[:-1][length > 2].tolist(), length[length > 2].tolist()):
+    some = (length > 2) & (length <= LONG_LIST)
+    for a, n in zip(cut[:-1][some].tolist(), length[some].tolist()):
         i = who[a : a + n]
         count[i[:, None], i] += 1
+    long = np.flatnonzero(length > LONG_LIST)
+    for lo in range(0, len(long), AT_ONCE):
+        part = long[lo : lo + AT_ONCE]
+        holds = np.zeros((k, len(part)), np.float32)
+        for column, (a, n) in enumerate(zip(cut[part].tolist(), length[part].tolist())):
+            holds[who[a : a + n], column] = 1
+        count += (holds @ holds.T).astype(np.int32)
     i, j = np.nonzero(np.triu(count, 1))
     return i, j, count[i, j]
 
 
-def _block_links(percent: int):
+def _block_links(percent: int, pairs: bool):
+    """All pairs (u, v) that link; or links that join all that do, and (u, null, n): u has n links."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("key")
         sets = [np.frombuffer(x, tc.U64) for x in pdf["hashes"]]
         keys, n = pdf["key"].tolist(), np.array([len(x) for x in sets], np.int64)
-        label = {c: c for c in pdf["comp"]}
-        comp = pdf["comp"].tolist()
+        i, j, o = _overlaps(sets)
+        ok = 100 * o.astype(np.int64) >= percent * (n[i] + n[j] - o)
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:  # pairs within a block belong to the block's own task
+            block = pdf["block"].to_numpy()
+            ok &= block[i] != block[j]
+        i, j = i[ok], j[ok]
+        if pairs:
+            return pd.DataFrame([(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in zip(i.tolist(), j.tolist())], columns=["u", "v"])
+        size = pdf["size"].to_numpy(np.int64)
+        links = np.zeros(len(keys), np.int64)
+        np.add.at(links, i, size[j])
+        np.add.at(links, j, size[i])
+        label = list(range(len(keys)))
 
         def top(x):
             while label[x] != x:
                 label[x] = x = label[label[x]]
             return x
 
-        i, j, o = _overlaps(sets)
-        ok = 100 * o.astype(np.int64) >= percent * (n[i] + n[j] - o)
-        out = []
-        for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-            x, y = top(comp[a]), top(comp[b])
+        out = [(keys[a], None, int(links[a])) for a in np.flatnonzero(links).tolist()]
+        for a, b in zip(i.tolist(), j.tolist()):
+            x, y = top(a), top(b)
             if x != y:
                 label[x] = y
-                out.append((keys[a], keys[b]))
-        return pd.DataFrame(out, columns=["u", "v"])
+                out.append((keys[a], keys[b], 0))
+        return pd.DataFrame(out, columns=["u", "v", "n"])
 
     return run
 
 
-def _met_in_blocks(open_posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, key, n, comp) of open lists -> links (u, v) that join all components to be joined."""
-    lead = open_posts.groupBy("sig").agg(F.min("key").alias("v"))
-    near = open_posts.select("sig", F.col("key").alias("u")).join(lead, "sig").select("u", "v").distinct()
+def _met_in_blocks(posted: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """(sig, key, n) of all lists, (key, size) of classes -> what _block_links() finds in all blocks."""
+    lead = posted.groupBy("sig").agg(F.min("key").alias("v"))
+    near = posted.select("sig", F.col("key").alias("u")).join(lead, "sig").select("u", "v").distinct()
     part = components(near).toDF("key", "part")
-    member = open_posts.select("key", "n", "comp").distinct().join(part, "key")
+    member = posted.select("key", "n").distinct().join(part, "key").join(sizes, "key")
     size = member.groupBy("part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("long")
     dealt = member.join(size.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = dealt.select("part", "key", "comp", "block", other.alias("other"))
-    met = met.select("part", "key", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = dealt.select("part", "key", "size", "block", other.alias("other"))
+    met = met.select("part", "key", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     held = met.join(sets.select("key", "hashes"), "key")
-    return written(held.groupBy("part", "i", "j").applyInPandas(_block_links(percent), "u binary, v binary"), "jaccard-links")
+    schema = "u binary, v binary" + ", n long" * (not pairs)
+    return written(held.groupBy("part", "i", "j").applyInPandas(_block_links(percent, pairs), schema), "jaccard-links")
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) -> the ledger of shingle_ledger(), and (key, component) of linked sets.
-
-    component is the key of one set of the component; sets without a link don't appear.
-    """
+def _linked(docs: DataFrame, width: int, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) -> the ledger of shingle_ledger(), and what _met_in_blocks() finds."""
     ledger = shingle_ledger(docs, width)
     near = ledger.filter((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
     classes = near.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
@@ -363,40 +360,51 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
     sets = written(texts.select("text").mapInArrow(_sets(width), "key binary, n long, hashes binary").filter("n > 0"), "shingle-sets")
     posted = posts(sets, percent)
-    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-
-    comp = None
-
-    def joined(found: DataFrame) -> DataFrame:
-        links = found if comp is None else found.union(comp.select(F.col("key").alias("u"), F.col("comp").alias("v")))
-        return components(links).toDF("key", "comp")
-
-    for turn in range(STAR_ROUNDS + 1):
-        p = posted.withColumn("comp", F.col("key")) if comp is None else posted.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        open_lists = p.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("key", "comp", "n")).alias("lead")).filter("lo != hi")
-        if turn < STAR_ROUNDS:
-            led = p.join(open_lists.select("sig", "lead.*").toDF("sig", "lead", "lead_comp", "m"), "sig")
-            led = led.filter((F.col("comp") != F.col("lead_comp")) & fits).groupBy(F.col("key").alias("u"), F.col("lead").alias("v")).agg(F.count("*").alias("c"))
-            found = _verified(led.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v")), sets, percent)
-        else:
-            found = _met_in_blocks(p.join(open_lists.select("sig"), "sig"), sets, percent)
-        if found.isEmpty():
-            continue
-        comp = joined(found)
+    found = _met_in_blocks(posted, sets, ledger.filter("n > 0").groupBy("key").agg(F.count("*").alias("size")), percent, pairs)
     discard(posted, sets)
-    if comp is None:
-        comp = docs.sparkSession.createDataFrame([], "key binary, comp binary")
-    return ledger, comp.toDF("key", "component")
+    return ledger, found
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) -> a row for each: doc_id, n_shingles, component_id."""
-    ledger, comp = jaccard_classes(docs, width, percent)
+def jaccard_links(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) -> membership (doc_id, key), and all links (u, v) of different classes.
+
+    A class is the documents of one shingle set, key its name; u < v, each pair once. Documents
+    of one class all link. Documents without shingles have no key.
+    """
+    ledger, links = _linked(docs, width, percent, True)
+    return ledger.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key")), links
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text) -> the ledger of shingle_ledger(), (key, component) of linked sets, and
+    (key, n_links): how many documents of other classes each document of the class links to.
+
+    component is the key of one set of the component; sets without a link don't appear.
+    """
+    ledger, found = _linked(docs, width, percent, False)
+    comp = components(found.filter("v IS NOT NULL").select("u", "v")).toDF("key", "component")
+    return ledger, comp, found.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n_links"))
+
+
+def linked_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text) -> a row for each: doc_id, n_shingles, component_id, n_links.
+
+    n_links is the number of other documents that the document links to.
+    """
+    ledger, comp, links = jaccard_classes(docs, width, percent)
     least = ledger.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     named = least.join(comp, "key", "left").withColumn("top", F.coalesce("component", "key"))
-    tops = named.groupBy("top").agg(F.min("least").alias("component_id"), F.sum("c").alias("c"))
-    ids = named.join(tops.filter("c > 1").drop("c"), "top").select("key", "component_id")
-    return ledger.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id"))
+    tops = named.groupBy("top").agg(F.min("least").alias("component_id"), F.sum("c").alias("all"))
+    n = (F.col("c") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")
+    ids = named.join(tops.filter("all > 1").drop("all"), "top").join(links, "key", "left").select("key", "component_id", n)
+    of = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id")
+    n_links = F.coalesce(F.when(F.col("n") > 0, F.col("n_links")), F.lit(0)).cast("long").alias("n_links")
+    return ledger.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), of, n_links)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text) -> a row for each: doc_id, n_shingles, component_id."""
+    return linked_duplicates(docs, width, percent).drop("n_links")
 
 
 #: The same rows of the query over documents, for an independent engine.

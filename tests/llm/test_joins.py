@@ -45,6 +45,33 @@ def test_jaccard_join(docs, rows, monkeypatch, blocks):
     assert Counter(tuple(r) for r in got) == plain_components(rows)
 
 
+@pytest.mark.parametrize("blocks", [512, 2])
+def test_jaccard_join_keeps_every_link(spark, docs, rows, monkeypatch, blocks):
+    monkeypatch.setattr(ngramjoin, "BLOCK_SETS", blocks)
+    words = [f"w{k}" for k in range(200)]
+    group = [(1000 + i, " ".join(w if k != 10 * i else "edit" for k, w in enumerate(words))) for i in range(12)]
+    every = [(r[0], r[1]) for r in rows] + group + group[:2]
+    sets = [shingles(t) for _, t in every]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(group + group[:2], "doc_id long, text string"))
+    want = Counter((i, len(s), sum(linked(s, x) for x in sets) - bool(s)) for (i, _), s in zip(every, sets))
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in ngramjoin.linked_duplicates(df).collect()) == want
+    of, links = ngramjoin.jaccard_links(df)
+    name = {(r["doc_id"]): bytes(r["key"]) for r in of.filter("doc_id >= 1000").collect()}
+    got = Counter((bytes(r["u"]), bytes(r["v"])) for r in links.collect())
+    assert max(got.values()) == 1 and len(got) == sum(linked(a, b) for a in set(sets) for b in set(sets) if a != b) // 2
+    assert {tuple(sorted((name[1000 + i], name[1000 + j]))) for i in range(12) for j in range(i)} <= set(got)
+
+
+def test_long_lists_are_counted_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    s = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
+    for long in (64, 5):
+        monkeypatch.setattr(ngramjoin, "LONG_LIST", long)
+        i, j, o = ngramjoin._overlaps(s)
+        assert {(a, b): n for a, b, n in zip(i.tolist(), j.tolist(), o.tolist())} == {(a, b): len(np.intersect1d(s[a], s[b])) for b in range(30) for a in range(b)}
+
+
 def test_jaccard_join_of_nothing(empty):
     assert ngramjoin.near_duplicates(empty).collect() == []
 
