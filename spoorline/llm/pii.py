@@ -106,14 +106,22 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _blanked(text: Column) -> Column:
-    """The text with all that the base patterns match made spaces, at the same places."""
-    for kind in KINDS:
+    """The text with its base spans made spaces, at the same places; other matches stay as they are."""
+    letters = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+
+    def without(kind: str) -> Column:
         pattern = PATTERNS[kind]
-        x = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-        blank = _let(x, lambda x: F.array_join(F.transform(x["gaps"], lambda g, i: F.concat(g, F.coalesce(F.repeat(F.lit(" "), F.char_length(F.get(x["found"], i))), F.lit("")))), ""))
-        hint = F.instr(text, "@") > 0 if kind == "email" else text.rlike(HINTS[kind])
-        text = F.when(hint, blank).otherwise(text)
-    return text
+        x = F.struct(F.split(text, pattern, -1).alias("gaps"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), _holds(kind, m).alias("holds"))).alias("found"))
+        over = lambda f: F.coalesce(F.when(f["holds"], F.repeat(F.lit(" "), F.char_length(f["m"]))).otherwise(f["m"]), F.lit(""))
+        blank = _let(x, lambda x: F.when(F.exists(x["found"], lambda f: f["holds"]), F.array_join(F.transform(x["gaps"], lambda g, i: F.concat(g, over(F.get(x["found"], i)))), "")))
+        return F.when(F.instr(text, "@") > 0 if kind == "email" else text.rlike(HINTS[kind]), blank)
+
+    def both(p: Column) -> Column:
+        """Spans of several kinds may overlap: a place is blank where it is for any of them."""
+        either = lambda a, x: F.zip_with(a, letters(x), lambda c, d: F.when(c == " ", c).otherwise(d))
+        return F.array_join(F.aggregate(F.slice(p, F.lit(2), F.size(p)), letters(F.get(p, 0)), either), "")
+
+    return _let(F.array_compact(F.array(*map(without, KINDS))), lambda p: F.when(F.size(p) == 0, text).when(F.size(p) == 1, F.get(p, 0)).otherwise(both(p)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

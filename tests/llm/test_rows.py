@@ -316,3 +316,18 @@ def test_contexts_discover_unseen_identifiers(spark):
     text = hidden[0][1]
     at = text.index("agent")
     assert got[100] == f"email:{at}:{at + len('agent-4711x')}" and got[101] == ""
+
+
+def test_tokens_beside_numbers_are_discovered(spark):
+    known = [(i, f"hello there, write to address user{i}@mail.example now please") for i in range(12)]
+    say = "hello there, write to address agent-4711x now please"
+    beside = ["4111 1111 1111 1111", "4111 1111 1111 1112", "4111111111111112 🎉 1.2.3.4 a@b.cd", "room 12 30 +1.2.3.4.5.6.7.8.9 4111111111111111"]
+    hidden = [(100 + k, f"{say}; {n}; {say}") for k, n in enumerate(beside)]
+    got = {r["doc_id"]: r["more"] for r in pii.personal_data(spark.createDataFrame(known + hidden, "doc_id long, text string")).collect()}
+    for i, text in hidden:
+        assert sorted((m["start"], m["end"]) for m in got[i]) == [m.span() for m in re.finditer("agent-4711x", text)]
+    odd = [(1, "é 4111111111111111 🎉 a@b.cd 4111111111111112"), (2, "+1.2.3.4.555.1234abcd99999 x"), (3, "plain 12")]
+    blank = {r["i"]: r["t"] for r in spark.createDataFrame(odd, "i long, text string").select("i", pii._blanked(pii.F.col("text")).alias("t")).collect()}
+    for i, text in odd:
+        gone = {k for _, a, b in plain_private(text) for k in range(a, b)}
+        assert blank[i] == "".join(" " if k in gone else c for k, c in enumerate(text))
