@@ -32,6 +32,10 @@ _assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]{24,}")
 _pem = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+#: What parts the lines of a key: blanks, quotes, quoting marks, escaped line ends.
+_PART = r"""(?:[\s"',>#*|]|\\[nrt])++"""
+#: The rest of a key block without its END line: header lines, long base64 lines, a short last one that fills its line.
+_body = re.compile(rf"""(?:{_PART}(?:Proc-Type|DEK-Info|Content-Domain|Version|Comment):[^\r\n\\]*+)*+(?:(?:{_PART})?[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:(?<=[A-Za-z0-9+/])(?:\r?\n|\\n)[A-Za-z0-9+/]++={{0,2}}(?=[\r\n"'\\]|\Z))?(?:(?:{_PART})?-----END (?:[A-Z]+ )*PRIVATE KEY-----)?""")
 _jwt = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _token = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
 
@@ -56,8 +60,26 @@ def spans_v1(text: str) -> Spans:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys from their BEGIN line through the matching END line; to the end of the key body where there is none."""
+    heads = list(_pem.finditer(text))
+    for m, after in zip(heads, [*heads[1:], None]):
+        limit = after.start() if after else len(text)
+        end = m[0].replace("BEGIN", "END", 1)
+        at = text.find(end, m.end(), limit)
+        yield m.start(), at + len(end) if at >= 0 else _body.match(text, m.end(), limit).end()
+
+
+def spans_v2(text: str) -> Spans:
+    """As spans_v1(), with whole key blocks."""
+    if "PRIVATE KEY" not in text:
+        return spans_v1(text)
+    out = [s for s in spans_v1(text) if s[0] != "pem"] + [("pem", a, b) for a, b in key_blocks(text)]
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
+
+
 #: Rule versions by name: what finds the secrets of a blob.
-RULES: dict[str, Callable[[str], Spans]] = {"secrets-1": spans_v1}
+RULES: dict[str, Callable[[str], Spans]] = {"secrets-1": spans_v1, "secrets-2": spans_v2}
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rules", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
@@ -83,7 +105,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def scan(docs: DataFrame, ledger_path: str | None = None, rules: str = "secrets-1") -> DataFrame:
+def scan(docs: DataFrame, ledger_path: str | None = None, rules: str = "secrets-2") -> DataFrame:
     """(doc_id, text) -> doc_id, blob, spans for every row; appends to the ledger.
 
     Without a path the ledger is a new one in the shared folder.
@@ -117,7 +139,7 @@ def digest(found: DataFrame) -> DataFrame:
 MASK = "[secret]"
 
 
-def redact(docs: DataFrame, ledger_path: str | None = None, rules: str = "secrets-1") -> DataFrame:
+def redact(docs: DataFrame, ledger_path: str | None = None, rules: str = "secrets-2") -> DataFrame:
     """Replaces every secret of the texts by [secret], overlapping ones by a single one.
 
     Keeps all rows and columns; n_chars, where there is one, follows the text.

@@ -272,6 +272,30 @@ def test_redaction(spark, empty):
     assert secrets.redact(empty).collect() == [] and secrets.scan(empty).collect() == []
 
 
+def test_redaction_leaves_no_key_body(spark):
+    rng = random.Random(9)
+    b64 = lambda n: "".join(rng.choice("ABCDEFghijkl0123456789+/") for _ in range(n))
+    lines = [b64(64), b64(64), b64(30) + "=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    coded = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n"
+    short = b64(64) + "\n" + "abc="
+    texts = [
+        ("\n".join(["é", head, *lines, end, "tail here"]), "é\n[secret]\ntail here"),
+        ("\n".join(["é", head, *lines, "tail here"]), "é\n[secret]\ntail here"),
+        ("\n".join(["x", head, coded, *lines, end, "y"]), "x\n[secret]\ny"),
+        ("\n".join(["x", head, coded, *lines]), "x\n[secret]"),
+        ("k " + "\\n".join([head, *lines, end]) + " z", "k [secret] z"),
+        ("k " + " ".join([head, *lines]) + " some more words", "k [secret] some more words"),
+        (f"{head}\n{short}\nrest of it", "[secret]\nrest of it"),
+        ("\n".join([head, *lines, head, *lines, end, "between", head.replace("RSA ", ""), *lines, "last word"]), "[secret]\n[secret]\nbetween\n[secret]\nlast word"),
+        ("\n".join([head, *lines, "", "Hello", "there"]), "[secret]\n\nHello\nthere"),
+        (f"a {head} b c", "a [secret] b c"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert out == {i: want for i, (_, want) in enumerate(texts)}
+
+
 # ---- personal data ------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
