@@ -58,7 +58,7 @@ def op4_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_streaming_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), ids=False)
+    return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -230,6 +230,18 @@ def test_encoded_rows(docs, rows, empty):
     assert pieces.encode(empty).collect() == []
 
 
+def test_registered_query_returns_the_ids(spark):
+    import sentencepiece
+
+    from spoorline.llm import queries
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op6_streaming_pieces"](spark, sf).collect()
+    text = dict(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
+    assert len(got) == len(text) and all(r["ids"] == (None if text[r["doc_id"]] is None else sp.encode(text[r["doc_id"]])) for r in got)
+
+
 # ---- secrets ------------------------------------------------------------------------------------
 
 SECRETS = [
