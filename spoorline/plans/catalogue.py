@@ -74,7 +74,17 @@ def alias_canonicalize(spark, d):
 @query("""WITH c AS (SELECT DISTINCT 'p:' || l_partkey AS alias, 's:' || l_suppkey AS owner FROM lineitem WHERE l_linenumber = 1)
  SELECT alias, count(*) AS n_owners, string_agg(owner, ',' ORDER BY owner) AS owners FROM c GROUP BY alias""")
 def alias_owners(spark, d):
-    li = B.table(spark, d, "lineitem").filter("l_linenumber = 1").groupBy(B.name("s", "l_suppkey").alias("id")).agg(F.collect_set(B.name("p", "l_partkey")).alias("aliases"))
+    return _owners(B.table(spark, d, "lineitem").filter("l_linenumber = 1"))
+
+
+@query("""WITH c AS (SELECT DISTINCT 'p:' || l_partkey AS alias, 's:' || l_suppkey AS owner FROM lineitem)
+ SELECT alias, count(*) AS n_owners, string_agg(owner, ',' ORDER BY owner) AS owners FROM c GROUP BY alias""")
+def alias_owners_all_lines(spark, d):
+    return _owners(B.table(spark, d, "lineitem"))
+
+
+def _owners(lines):
+    li = lines.groupBy(B.name("s", "l_suppkey").alias("id")).agg(F.collect_set(B.name("p", "l_partkey")).alias("aliases"))
     one, many = graph.alias_owners(li)
     rows = one.select("alias", F.array("owner").alias("owners")).unionByName(many.select("alias", "owners"))
     return rows.select("alias", F.size("owners").cast("long").alias("n_owners"), F.array_join("owners", ",").alias("owners"))
@@ -195,8 +205,12 @@ SIDES = """a AS (SELECT 'p' || l_partkey || '<-' || string_agg(DISTINCT 's' || l
  b AS (SELECT 'p' || l_partkey || '<-' || string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS key, min(l_returnflag) AS kind FROM lineitem WHERE l_linenumber <= 2 AND (l_partkey % 3 > 0 OR l_quantity < 40) GROUP BY l_partkey)"""
 
 
-def _sides(spark, d):
-    li = B.table(spark, d, "lineitem").filter("l_linenumber <= 2")
+#: The same over every line.
+ALL_SIDES = SIDES.replace("WHERE l_linenumber <= 2 GROUP", "GROUP").replace("l_linenumber <= 2 AND ", "")
+
+
+def _sides(spark, d, lines="l_linenumber <= 2"):
+    li = B.table(spark, d, "lineitem").filter(lines)
     side = lambda df: df.groupBy("l_partkey").agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("s"), F.min("l_returnflag").alias("kind")).select(policy.edge_key(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("s")).alias("key"), "kind")
     return side(li), side(li.filter("l_partkey % 3 > 0 OR l_quantity < 40"))
 
@@ -206,6 +220,11 @@ def edge_set_compare(spark, d):
     return policy.compared(*_sides(spark, d))
 
 
+@query(f"""WITH {ALL_SIDES} SELECT key, CASE WHEN b.key IS NULL THEN 'deterministic_only' WHEN a.key IS NULL THEN 'ai_only' WHEN a.kind = b.kind THEN 'agreed' ELSE 'transformation' END AS verdict FROM a FULL JOIN b USING (key)""")
+def edge_set_compare_all_lines(spark, d):
+    return policy.compared(*_sides(spark, d, "true"))
+
+
 @query(f"""WITH {SIDES}, ex AS (SELECT key, split_part(key, '<-', 1) AS target, CASE kind WHEN 'A' THEN 'exact' ELSE 'partial' END AS confidence FROM a)
  SELECT split_part(b.key, '<-', 1) AS target, b.key, CASE WHEN b.key IN (SELECT key FROM ex) THEN 'unchanged' WHEN split_part(b.key, '<-', 1) IN (SELECT target FROM ex WHERE confidence = 'exact') THEN 'deferred' ELSE 'accepted' END AS decision FROM b""")
 def proposal_merge_decisions(spark, d):
@@ -214,6 +233,14 @@ def proposal_merge_decisions(spark, d):
     return policy.merge_decisions(b.select(target, "key"), a.select(target, "key", F.when(F.col("kind") == "A", "exact").otherwise("partial").alias("confidence")))
 
 
+@query(f"""WITH {ALL_SIDES}, ex AS (SELECT key, split_part(key, '<-', 1) AS target, CASE kind WHEN 'A' THEN 'exact' ELSE 'partial' END AS confidence FROM a)
+ SELECT split_part(b.key, '<-', 1) AS target, b.key, CASE WHEN b.key IN (SELECT key FROM ex) THEN 'unchanged' WHEN split_part(b.key, '<-', 1) IN (SELECT target FROM ex WHERE confidence = 'exact') THEN 'deferred' ELSE 'accepted' END AS decision FROM b""")
+def proposal_merge_decisions_all_lines(spark, d):
+    a, b = _sides(spark, d, "true")
+    target = F.substring_index("key", "<-", 1).alias("target")
+    return policy.merge_decisions(b.select(target, "key"), a.select(target, "key", F.when(F.col("kind") == "A", "exact").otherwise("partial").alias("confidence")))
+
+
 @query("""WITH c AS (SELECT DISTINCT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst, l_returnflag AS job_id FROM lineitem)
  SELECT src, dst, job_id FROM c EXCEPT SELECT 's:' || l_suppkey, 'p:' || l_partkey, l_returnflag FROM lineitem WHERE l_quantity > 10""")
 def implied_table_edges(spark, d):

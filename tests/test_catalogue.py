@@ -39,3 +39,14 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["node", "hop"]
+
+
+def test_all_lines_are_read(spark, tmp_path):
+    lines = [(1, 1, 10, 1, "A", 50.0), (1, 2, 10, 2, "A", 50.0), (1, 3, 10, 3, "A", 50.0)]
+    columns = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double"
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    q = entry.queries()
+    got = {name: [tuple(r) for r in q[f"{name}_all_lines"](spark, str(tmp_path)).collect()] for name in ("alias_owners", "edge_set_compare", "proposal_merge_decisions")}
+    assert got["alias_owners"] == [("p:10", 3, "s:1,s:2,s:3")]
+    assert got["edge_set_compare"] == [("p10<-s1,s2,s3", "agreed")]
+    assert got["proposal_merge_decisions"] == [("p10", "p10<-s1,s2,s3", "unchanged")]
