@@ -118,21 +118,22 @@ def call_plan(files: DataFrame, max_calls: int, max_tokens: int) -> DataFrame:
     return files.agg(one.alias("files")).select(F.inline(F.aggregate("files", start, step)["out"]))
 
 
-def inherit_descriptions(columns: DataFrame, copies: DataFrame, rounds: int = 100) -> DataFrame:
+def inherit_descriptions(columns: DataFrame, copies: DataFrame) -> DataFrame:
     """(node, description) and exact one-source identity edges (src, dst) -> node, description, inherited.
 
     Columns without a description take that of the one column they copy; repeated until no more do.
+    Each round doubles how far a column looks, so a round that finds nothing new is the last.
     """
-    only = copies.groupBy("dst").agg(F.count_distinct("src").alias("n"), F.min("src").alias("src")).filter("n = 1 AND src != dst").select("src", "dst")
-    now = settled(columns.select("node", "description", F.lit(False).alias("inherited")))
-    for _ in range(rounds):
-        from_src = only.join(now.filter("description IS NOT NULL").select(F.col("node").alias("src"), F.col("description").alias("d")), "src").select(F.col("dst").alias("node"), "d")
-        nxt = now.join(from_src, "node", "left").select("node", F.coalesce("description", "d").alias("description"), (F.col("inherited") | (F.col("description").isNull() & F.col("d").isNotNull())).alias("inherited"))
+    only = copies.groupBy("dst").agg(F.count_distinct("src").alias("n"), F.min("src").alias("src")).filter("n = 1 AND src != dst").select(F.col("dst").alias("node"), F.col("src").alias("up"))
+    now = settled(columns.select("node", "description").join(only, "node", "left").select("node", "description", F.lit(False).alias("inherited"), F.when(F.col("description").isNull(), F.col("up")).alias("up")))
+    while True:
+        above = now.select(F.col("node").alias("up"), F.col("description").alias("d"), F.col("up").alias("next"))
+        found = F.coalesce("description", "d")
+        nxt = now.join(above, "up", "left").select("node", found.alias("description"), (F.col("inherited") | (F.col("description").isNull() & F.col("d").isNotNull())).alias("inherited"), F.when(found.isNull(), F.col("next")).alias("up"))
         nxt = settled(nxt)
         if nxt.filter("inherited").count() == now.filter("inherited").count():
-            return nxt
+            return nxt.select("node", "description", "inherited")
         now = nxt
-    return now
 
 
 def description_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

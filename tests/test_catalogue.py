@@ -50,3 +50,13 @@ def test_all_lines_are_read(spark, tmp_path):
     assert got["alias_owners"] == [("p:10", 3, "s:1,s:2,s:3")]
     assert got["edge_set_compare"] == [("p10<-s1,s2,s3", "agreed")]
     assert got["proposal_merge_decisions"] == [("p10", "p10<-s1,s2,s3", "unchanged")]
+
+
+def test_descriptions_reach_any_distance(spark):
+    from spoorline.operators import policy
+
+    nodes = [(0, "d")] + [(i, None) for i in range(1, 151)] + [(200, None), (201, None), (300, "e"), (301, None)]
+    copies = [(i - 1, i) for i in range(1, 151)] + [(200, 201), (201, 200), (0, 301), (300, 301)]
+    got = policy.inherit_descriptions(spark.createDataFrame(nodes, "node long, description string"), spark.createDataFrame(copies, "src long, dst long"))
+    want = {(0, "d", False), (200, None, False), (201, None, False), (300, "e", False), (301, None, False)} | {(i, "d", True) for i in range(1, 151)}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
