@@ -41,6 +41,21 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def reject_other_models(path: str) -> None:
+    """Raises for a model whose ids the search can't give: not BPE, or a piece that spans a space."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    spec = model.trainer_spec
+    if spec.model_type != spec.BPE:
+        raise ValueError(f"{path} is no BPE model: its ids need a search by scores")
+    normal = model.pieces and [p.piece for p in model.pieces if p.type in (p.NORMAL, p.USER_DEFINED)]
+    if wide := next((p for p in normal if SPACE in p.lstrip(SPACE)), None):
+        raise ValueError(f"{path} has a piece with a space after another character: {wide}")
+
+
 class Pieces:
     """A model's pieces: exact merges of short strings, and the streaming search."""
 
@@ -48,6 +63,7 @@ class Pieces:
         import ahocorasick
         import sentencepiece
 
+        reject_other_models(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]

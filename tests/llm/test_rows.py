@@ -211,6 +211,16 @@ def test_ids_are_the_library_s(model):
         assert model.decode(model.encode(t)) == t
 
 
+@pytest.mark.parametrize("kind, split, message", [("unigram", True, "no BPE model"), ("bpe", False, "space after another")])
+def test_models_of_another_kind_are_rejected(tmp_path, kind, split, message):
+    import sentencepiece
+
+    lines = ["of the time in the end of the day it is at the end of the line"] * 50
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/m", model_type=kind, vocab_size=45, hard_vocab_limit=False, split_by_whitespace=split, byte_fallback=False, minloglevel=2)
+    with pytest.raises(ValueError, match=message):
+        pieces.Pieces(f"{tmp_path}/m.model")
+
+
 def test_long_text_without_spaces_is_committed_early(model):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefnrst好") for _ in range(3000))
