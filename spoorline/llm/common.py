@@ -17,10 +17,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where the session names none (tests, one machine), a temporary folder is made once.
+    Where a session on one machine (tests) names none, a temporary folder is made once; on a
+    cluster that would scatter rows over the machines, so it is an error.
     """
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spoorline-")
@@ -28,8 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; what is there when the driver ends goes."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)  # only a path that exists can be marked
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+    return path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
