@@ -6,16 +6,20 @@ there (an unknown symbol is a phrase of its own). Phrases times log2 of the samp
 the text's length, estimate the cross entropy in bits; the language with the fewest wins, ties
 going to the first by name. The score is the winner's lead: 1 - bits / bits of the second.
 
-Symbols are the bytes of the lower-cased text, every stretch without letters one space. Whole
-texts are parsed, in blocks of BLOCK symbols, thousands of blocks at once by table look-ups.
+Symbols are the bytes of the text with ASCII and Latin-1 letters lower-cased (others as they are),
+every stretch without letters one space. Whole texts are parsed by table look-ups, thousands of
+lanes of LANE symbols at once. A long text's lanes first all start at the automaton's start; then
+each one whose text before it ended within a phrase is parsed again from that phrase's state,
+until no lane's beginning changes: the count is that of the text parsed in one piece.
 
 The models are fitted on a bounded sample of labelled rows: for each language SLOTS slots, in each
-the SNIPPET first characters of the row with the least hash of its id. Only text and lang are read
-there, lang nowhere else.
+SNIPPET characters, from a place that its hash chooses, of the row with the least hash of its id.
+Only text and lang are read there, lang nowhere else.
 
 Null texts and texts without a letter are `und` with score 0; so is every text if no row is
 labelled. With one language the score is 1. Rows that repeat an id are judged row by row. Empty
-input: no rows. Other columns of the input aren't read.
+input: no rows. Other columns of the input aren't read; predict() hands them on, and its own
+two columns take the place of any of the same names.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoorline.llm import textcore as tc
 from spoorline.llm.common import hashed
 
-SLOTS, SNIPPET, BLOCK = 32, 512, 256
+SLOTS, SNIPPET, LANE = 32, 512, 512
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -105,35 +110,43 @@ class Parser:
             self.tables.append(t.ravel())
             self.cost.append(math.log2(max(len(samples[name]), 2)))
 
+    def _parse(self, t: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lanes (start, size, longest first) from their states: phrases ended, and the last states."""
+        state, count = state.copy(), np.zeros(len(start), np.int32)
+        active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # lanes longer than k
+        for k, m in enumerate(active.tolist()):
+            c = code[start[:m] + k]
+            nxt = t[state[:m] + c]
+            bad = np.flatnonzero(nxt < 0)
+            if len(bad):
+                again = t[c[bad]]
+                count[bad] += (state[bad] != 0).astype(np.int32) + (again < 0)
+                nxt[bad] = np.maximum(again, 0)
+            state[:m] = nxt
+        return count, state
+
     def phrases(self, s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) for each language (columns)."""
         n = np.diff(bounds)
-        blocks = -(-n // BLOCK)
-        doc = np.repeat(np.arange(len(n)), blocks)
-        start = bounds[:-1][doc] + BLOCK * (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        size = np.minimum(BLOCK, bounds[1:][doc] - start)
-        order = np.argsort(-size, kind="stable")
-        doc, start, size = doc[order], start[order], size[order]
+        lanes = -(-n // LANE)
+        doc = np.repeat(np.arange(len(n)), lanes)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        start = bounds[:-1][doc] + LANE * nth
+        size = np.minimum(LANE, bounds[1:][doc] - start)
         code = self.code[s]
-        active = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than k
         out = np.zeros((len(n), len(self.names)), np.int64)
-        if not len(doc):
-            return out
-        state = [np.zeros(len(doc), np.int32) for _ in self.names]
-        count = [np.zeros(len(doc), np.int32) for _ in self.names]
-        for k in range(int(size[0])):
-            m = active[k]
-            c = code[start[:m] + k]
-            for t, st, ph in zip(self.tables, state, count):
-                nxt = t[st[:m] + c]
-                bad = np.flatnonzero(nxt < 0)
-                if len(bad):
-                    again = t[c[bad]]
-                    ph[bad] += (st[bad] != 0).astype(np.int32) + (again < 0)
-                    nxt[bad] = np.maximum(again, 0)
-                st[:m] = nxt
-        for j, (st, ph) in enumerate(zip(state, count)):
-            out[:, j] = np.bincount(doc, ph + (st != 0), minlength=len(n))
+        for j, t in enumerate(self.tables):
+            begun = np.zeros(len(doc), np.int32)
+            count, state = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
+            todo = np.arange(len(doc))
+            while len(todo):
+                todo = todo[np.argsort(-size[todo], kind="stable")]
+                count[todo], state[todo] = self._parse(t, code, start[todo], size[todo], begun[todo])
+                before = np.where(nth > 0, np.roll(state, 1), 0)
+                todo = np.flatnonzero(before != begun)
+                begun[todo] = before[todo]
+            ends = nth == lanes[doc] - 1
+            out[:, j] = np.bincount(doc, count + (ends & (state != 0)), minlength=len(n))
         return out
 
     def predict(self, data: np.ndarray, bounds: np.ndarray) -> tuple[list[str], list[float]]:
@@ -163,7 +176,8 @@ def held_out(doc_id: Column) -> Column:
 def samples(labelled: DataFrame, slots: int = SLOTS, snippet: int = SNIPPET) -> dict[str, bytes]:
     """(doc_id, text, lang) -> symbols of each language's sample; slots rows a language come to the driver."""
     h = hashed(F.col("doc_id"), 52, "lang-1")
-    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", h.alias("h"), F.substring("text", 1, snippet).alias("t"))
+    at = F.pmod(hashed(F.col("doc_id"), 52, "lang-2"), F.greatest(F.char_length("text") - snippet + 1, F.lit(1))) + 1
+    rows = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", h.alias("h"), F.substr("text", at.cast("int"), F.lit(snippet)).alias("t"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min(F.struct("h", "t")).alias("x"))
     out: dict[str, bytes] = {}
     for r in sorted(least.collect(), key=lambda r: (r["lang"], r["slot"])):
@@ -178,23 +192,20 @@ def fit(docs: DataFrame) -> Parser:
 
 
 def predict(docs: DataFrame, parser: Parser) -> DataFrame:
-    """(doc_id, text) -> doc_id, held_out, lang_pred, score, with all other columns as they are."""
+    """(text) -> all columns as they are, and _lang_pred, _score."""
     model = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by languages, slots and snippet
-    names = docs.columns
-    fields = docs.schema.fields
+    docs = docs.drop("_lang_pred", "_score")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = model.value
         for batch in batches:
-            text = batch.column(names.index("text"))
-            for lo, hi, data, bounds in tc.slabs(text):
+            for lo, hi, data, bounds in tc.slabs(batch.column(at), 4 << 20):
                 pred, score = p.predict(data, bounds)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "_lang_pred", "_score"])
-
-    from pyspark.sql import types as T
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_score"])
 
-    schema = T.StructType([*fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
