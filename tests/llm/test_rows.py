@@ -106,19 +106,26 @@ def plain_phrases(text: bytes, corpus: bytes) -> int:
     return n
 
 
-def test_cross_parsing_counts_longest_phrases(monkeypatch):
+def test_cross_parsing_counts_longest_phrases():
     rng = random.Random(5)
     word = lambda a, n: bytes(rng.choice(a) for _ in range(n))
-    samples = {"x": word(b"abc ", 300), "y": word(b"abd ", 200)}
+    samples = {"x": word(b"abc ", 300) + word(b"abc ", 1500), "y": word(b"abd ", 200)}
     p = langid.Parser(samples)
-    texts = [word(b"abcde ", n) for n in (0, 1, 5, 255, 256, 257, 900)]
+    texts = [word(b"abcde ", n) for n in (0, 1, 5, 511, 512, 513, 900, 5000)]
+    texts += [samples["x"][:1700], b"".join(samples["x"][k : k + 600] for k in (3, 700, 1100, 40)), b"", b"a" * 3000]
     data = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.cumsum([0] + [len(t) for t in texts])
     got = p.phrases(data, bounds)
     for i, t in enumerate(texts):
         for j, name in enumerate(p.names):
-            blocks = [t[k : k + langid.BLOCK] for k in range(0, len(t), langid.BLOCK)]
-            assert got[i, j] == sum(plain_phrases(b, samples[name]) for b in blocks)
+            assert got[i, j] == plain_phrases(t, samples[name])
+    assert got[8, 0] == 1
+
+
+def test_language_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the text", "mine", 7.0, "x")], "doc_id long, text string, _lang_pred string, _score double, lang_pred string")
+    out = langid.predict(df, langid.Parser({"en": b"the text of a language"}))
+    assert out.columns == ["doc_id", "text", "lang_pred", "_lang_pred", "_score"] and tuple(out.first()) == (1, "the text", "x", "en", 1.0)
 
 
 def test_language_of_held_out_documents(spark):
@@ -167,16 +174,65 @@ def test_rules(spark, url, host, path, rule):
     assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
 
 
-def test_models_are_distributions_and_separate():
-    m = urls.Markov(["http://abc/1", "http://abd/22"])
-    seen = {c for u in ("abc/0", "abd/0") for c in "\x02" + u + "\x03"}
-    for context in ("", "a", "ab", "zz", "\x02ab"):
-        known = sum(m.probability(context, c) for c in seen)
-        assert known <= 1 + 1e-9 and math.isclose(known + (urls.ALPHABET - len(seen)) * m.probability(context, "☃"), 1)
-    good = [f"http://shop.example/{w}" for w in ("hats", "coats", "shoes", "bags") * 5]
-    bad = [f"http://spam.biz/{w}" for w in ("pills", "casino", "win", "cash") * 5]
-    f = urls.Filter(good, bad)
+def plain_score(url, accepted, rejected, order=6):
+    """Witten-Bell back-off from the definition: counts by scanning the URLs for each context."""
+    see = lambda u: "\x02" + re.sub(r"[0-9]+", "0", u.split("://", 1)[-1]) + "\x03"
+
+    def log_likelihood(urls):
+        texts = [see(u) for u in urls]
+
+        def p(context, char):
+            low = p(context[1:], char) if context else 1 / 0x110000
+            after = Counter(t[i] for t in texts for i in range(max(1, len(context)), len(t)) if t[i - len(context) : i] == context)
+            return (after[char] + len(after) * low) / (after.total() + len(after)) if after else low
+
+        s = see(url)
+        return sum(math.log(p(s[max(0, i - order) : i], s[i])) for i in range(1, len(s)))
+
+    n = len(see(url)) - 2
+    return (log_likelihood(accepted) - log_likelihood(rejected)) / n if n else 0.0
+
+
+GOOD = [f"http://shop.example/{w}" for w in ("hats", "coats", "shoes", "bags") * 3] + ["no scheme", "http://é.ü/12/345"]
+BAD = [f"http://spam.biz/{w}" for w in ("pills", "casino", "win", "cash") * 2]
+
+
+def test_models_match_their_definition():
+    f = urls.Filter(GOOD, BAD)
+    fit = lambda x: [u for i, u in enumerate(x) if i % 4]
+    for u in ("http://shop.example/ties", "http://spam.biz/loans", "", "x", "http://a/1", "http://\u2603/", "zzzzzz" * 9):
+        assert math.isclose(f.score(u), plain_score(u, fit(GOOD), fit(BAD)), abs_tol=1e-9)
     assert f.score("http://shop.example/ties") > f.threshold > f.score("http://spam.biz/loans")
+    m = urls.Markov(GOOD)
+    seen = {c for u in GOOD for c in "\x02" + urls.shape(u) + "\x03"}
+    for context in ("", "a", "op", "zz", "\x02sh"):
+        known = sum(m.probability(context, c) for c in seen)
+        assert math.isclose(known + (urls.ALPHABET - len(seen)) * m.probability(context, "\u2603"), 1)
+
+
+def test_every_cut_is_tried():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 30, 900):
+        good, bad = [round(rng.gauss(1, 1), 2) for _ in range(n)], [round(rng.gauss(0, 1), 2) for _ in range(2 * n)]
+        points = sorted({*good, *bad})
+        right = lambda t: round(sum(x > t for x in good) / len(good) + sum(x <= t for x in bad) / len(bad), 9)
+        want = max(((a + b) / 2 for a, b in zip(points, points[1:])), key=lambda t: (right(t), -abs(t)), default=0.0)
+        assert urls.best_cut(good, bad) == want
+
+
+def test_odd_urls(spark):
+    known = [(i, f"http://x.net/{p}/page-{i}") for i, p in enumerate(["es", "fr"] * 20)] + [(50 + i, f"http://a{i}.com/words") for i in range(40)]
+    odd = [(100, None), (None, ""), (102, "no scheme"), (103, "http://" + "a.b/" * 20000), (102, "no scheme"), (104, "://")]
+    rows = [(i, u, "mine", "mine", 0.5) for i, u in known + odd]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, verdict string, host string, score double")).collect()
+    assert len(got) == len(rows)
+    by = {r["page_id"]: r for r in got}
+    for i in (100, None, 104):
+        assert (by[i]["host"], by[i]["path"], by[i]["rule"], by[i]["score"]) == ("", "", None, 0.0)
+    f = urls.Filter(*(sorted((u for i, u in known if (i >= 50) == good), key=urls.hash_order) for good in (True, False)))
+    for i, u in odd:
+        assert by[i]["verdict"] == ("allow" if f.score(u or "") > f.threshold else "block")
+    assert by[103]["host"] == "a.b" and by[103]["score"] is not None and by[102]["host"] == ""
 
 
 def test_judged_pages(spark):
