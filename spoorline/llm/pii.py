@@ -1,12 +1,17 @@
 """Personal data: fixed patterns, and bootstrapped extraction from contexts. DataFrame operations only.
 
 Base patterns find emails, addresses, card and phone numbers. What they find are the seeds of a
-graph: instances (values) on one side, lexical patterns (the words around them) on the other.
-Identifier-like tokens (with a digit) in the same patterns are unlabelled instances. In each of
-ROUNDS rounds Spark scores patterns by the share of their distinct instances that are known, and
-instances by the patterns that hold them; patterns with few distinct seeds don't count. Values
+graph: instances (values) on one side, lexical patterns on the other. A pattern is one or two
+words to the left, to the right or on both sides, or the nearest word beside the value's shape
+(runs of digits, capitals and small letters as one each). Identifier-like tokens (with a digit) in
+the same patterns are unlabelled instances. In each of ROUNDS rounds Spark scores patterns by the
+share of their distinct instances that are known, as its lower confidence bound (Wilson), so that
+few instances say little; patterns with few distinct seeds, or a bound below LEAST_SHARE, don't
+count. An instance's score is that of the best pattern of each side, taken as independent. Values
 whose score reaches CONFIDENT are identifiers too and become spans, with the kind of their seeds.
 
+The joins by value are left to Spark, which broadcasts a side below its own size threshold only.
+
 A span is kind, start, end in code points, end exclusive; spans of a kind don't overlap, and added
 ones overlap no base match. Null text is empty. Rows that repeat an id and text get the same
 spans. Empty input: no rows. Other columns of the input aren't read.
@@ -17,11 +22,13 @@ matches as with the plain ones in the README, in time linear in the text and wit
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoorline.llm.common import written
+from spoorline.llm.common import discard, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -34,7 +41,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: An identifier-like token.
 TOKEN = r"(?<![A-Za-z0-9_-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]{3,}+"
-ROUNDS, LEAST_SEEDS, CONFIDENT, AROUND = 3, 3, 0.8, 48
+ROUNDS, LEAST_SEEDS, LEAST_SHARE, CONFIDENT, AROUND = 3, 3, 0.6, 0.8, 48
+#: The quantile of the confidence bound (90 %), squared as it is used.
+Z2 = 1.2816**2
 
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("m", T.StringType()), T.StructField("left", T.StringType()), T.StructField("right", T.StringType())]))
 
@@ -92,7 +101,7 @@ def _luhn(digits: Column) -> Column:
 
 def _holds(kind: str, m: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)).between(0, 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255))
+        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= 255))
     if kind == "card":
         return F.length(_digits(m)).between(13, 19) & _luhn(_digits(m))
     if kind == "phone":
@@ -138,9 +147,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     word = lambda c, p: F.regexp_replace(F.regexp_extract(F.lower(c), p, 1), r"[^\p{L}]", "")
     l1, l2 = word(F.col("left"), r"(\S+)\s*$"), word(F.col("left"), r"(\S+)\s+\S+\s*$")
     r1, r2 = word(F.col("right"), r"^\s*(\S+)"), word(F.col("right"), r"^\s*\S+\s+(\S+)")
-    named = lambda tag, a, b: F.when((a != "") & (b != ""), F.concat_ws(" ", F.lit(tag), a, b))
-    patterns = F.array_compact(F.array(named("around", l1, r1), named("after", l2, l1), named("before", r1, r2)))
-    return rows.select("doc_id", "sha", "kind", "start", "end", F.col("m").alias("value"), patterns.alias("patterns"))
+    shape = F.col("m")
+    for run, one in (("[0-9]+", "9"), ("[A-Z]+", "A"), ("[a-z]+", "a")):
+        shape = F.regexp_replace(shape, run, one)
+    named = lambda tag, *parts: F.when(reduce(lambda a, b: a & b, [p != "" for p in parts]), F.concat_ws(" ", F.lit(tag), *parts))
+    patterns = [named("around", l1, r1), named("left", l1), named("left2", l2, l1), named("left-shape", l1, shape), named("right", r1), named("right2", r1, r2), named("right-shape", r1, shape)]
+    return rows.select("doc_id", "sha", "kind", "start", "end", F.col("m").alias("value"), F.array_compact(F.array(*patterns)).alias("patterns"))
+
+
+def share_bound(known: Column, n: Column) -> Column:
+    """The lower confidence bound of a share of known among n."""
+    p = known / n
+    return (p + Z2 / 2 / n - F.sqrt(F.lit(Z2)) * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + Z2 / 4 / n / n)) / (1 + Z2 / n)
 
 
 def discovered(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
@@ -153,11 +171,18 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_S
     for _ in range(rounds):
         # Sums within tasks come first, so a very common pattern is a row for each task.
         scored = links.join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.sum("seed").alias("c"))
-        good = scored.filter(F.col("c") >= least_seeds).join(sizes, "pattern").withColumn("p", F.col("s") / F.col("n") * F.col("c") / (F.col("c") + 1)).filter("p >= 0.5")
-        found = links.join(good.select("pattern", "kind", "p"), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.999)))))).alias("score"))
+        good = scored.filter(F.col("c") >= least_seeds).join(sizes, "pattern").withColumn("p", share_bound(F.col("s"), F.col("n"))).filter(F.col("p") >= LEAST_SHARE)
+        side = F.regexp_extract("pattern", "^(around|left|right)", 1).alias("side")
+        best = links.join(good.select("pattern", "kind", "p"), "pattern").groupBy("value", "kind", side).agg(F.max("p").alias("p"))
+        found = best.groupBy("value", "kind").agg((1 - F.product(1 - F.col("p"))).alias("score"))
         best = found.groupBy("value").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score", F.lit(0).alias("seed"))
-        known = written(best.join(seeds.select("value"), "value", "left_anti").unionByName(seeds), "pii-known")
-    return known.filter((F.col("seed") == 0) & (F.col("score") >= confident)).select("value", "kind", "score")
+        after = written(best.join(seeds.select("value"), "value", "left_anti").unionByName(seeds), "pii-known")
+        if known is not seeds:
+            discard(known)
+        known = after
+    out = written(known.filter((F.col("seed") == 0) & (F.col("score") >= confident)).select("value", "kind", "score"), "pii-found")
+    discard(links, seeds, known)
+    return out
 
 
 def joined(spans: Column) -> Column:
@@ -183,9 +208,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """personal_data()'s rows -> counts and digests of base spans, and all spans."""
+    """personal_data()'s rows -> counts and digests of base spans, all spans, and how many they are."""
     place = F.expr("map('email', 0, 'ip', 1, 'card', 2, 'phone', 3)")
     ranked = lambda a: F.sort_array(F.transform(a, lambda s: F.struct(F.try_element_at(place, s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     base, every = ranked(F.col("base")), ranked(F.concat("base", "more"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(every).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
