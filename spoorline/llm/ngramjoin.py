@@ -13,11 +13,17 @@ have a Jaccard similarity of at least 75 %. The join runs in these steps:
    start of its set. Shingles of one set alone are counted in, but need no list.
    The boundary is the size up to which the pairs of a set cost less than scanning its lists,
    from the mean length of all lists.
-4. Verification. Sets that lists connect meet in blocks of bounded size, every two blocks of a
-   connected part in one task, where inverted lists give the exact overlap of every two sets.
-   Every pair of classes in a common list is so verified once. jaccard_links() returns all pairs
-   of classes that link; jaccard_classes() sums each class's links within the tasks, so that
-   thousands of near copies make no row for each pair. A set travels once for each block it meets.
+4. Verification. Sets that lists connect meet in blocks of bounded size, where inverted lists
+   give the exact overlap of every two sets. In a connected part of few blocks every two blocks
+   meet, so a set travels at most FEW_BLOCKS times. In a larger part sets with the same leading
+   list share a block, two blocks meet only if some list spans them, and only the sets of such
+   lists travel: copies follow the lists, not the square of the part. Every pair of classes in a
+   common list is verified once. jaccard_links() returns all pairs of classes that link;
+   jaccard_classes() sums each class's links within the tasks, so that thousands of near copies
+   make no row for each pair.
+
+In step 1 a slab's row for a bucket names only the texts that have a shingle there, so rows and
+bytes follow the shingles; with more buckets than a slab has shingles, each shingle is a row.
 
 Shingles are compared by 64-bit hash. Null or empty texts, and texts without words, have an
 empty set and no link. Rows that repeat a doc_id are documents of their own; the component's
@@ -34,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.llm import textcore as tc
@@ -46,6 +52,10 @@ PERCENT = 75
 BUCKET = 1_000_000
 #: Sets and shingles of a block of step 4 about.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
+#: Blocks of a connected part up to which every two of them meet.
+FEW_BLOCKS = 16
+#: Bytes of texts whose shingles are posted together, and shingles of a chunk of step 3 about.
+POSTED_BYTES, CHUNK = 4 << 20, 250_000
 #: Lists of a block longer than this are counted by a product of matrices, so many lists at once.
 LONG_LIST, AT_ONCE = 64, 4096
 
@@ -57,99 +67,141 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
 
 # ---- step 1 -------------------------------------------------------------------------------
 
-POSTED = "bucket int, chunk string, counts binary, hashes binary, several binary, ids binary, nulls binary, sizes binary, keys binary"
+POSTED = "bucket int, chunk long, docs binary, counts binary, hashes binary, several binary, ids binary, nulls binary, marks binary, sizes binary, keys binary"
+LOW48 = tc.U64(0xFFFFFFFFFFFF)
+
+
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending numbers the distinct ones and how often each occurs."""
+    docs, counts = np.unique(doc, return_counts=True)
+    return docs.astype(np.uint32), counts.astype(np.uint32)
+
+
+def _posted(ids: np.ndarray, nulls: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One slab's rows: a row for its texts, and one for each bucket that has shingles of it."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64())] + [(k.split()[0], pa.binary()) for k in POSTED.split(", ")[2:]])
+    sizes = np.array([len(s) for s in sets], np.uint32)
+    keys = b"".join(_digest(s.tobytes()) for s in sets)
+    chunk = int.from_bytes(_digest(ids.tobytes() + nulls.tobytes() + marks.tobytes() + keys)[:8], "little", signed=True)
+    h = np.concatenate(sets) & LOW48
+    doc = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    last = np.ones(len(h), bool)
+    last[:-1] = new[1:]
+    alone = new & last  # in one text of this slab
+    docs, counts = _runs(np.sort(doc[~alone]))
+    rows: dict[str, list] = {k: [] for k in schema.names}
+
+    def add(**x):
+        for k, v in rows.items():
+            v.append(x.get(k))
+
+    add(bucket=-1 - chunk % buckets, chunk=chunk, docs=docs.tobytes(), counts=counts.tobytes(), ids=ids.tobytes(), nulls=nulls.tobytes(), marks=marks.tobytes(), sizes=sizes.tobytes(), keys=keys)
+    b = (h % tc.U64(buckets)).astype(np.int32)
+    by = np.lexsort((doc, b))
+    h, doc, alone, new, b = h[by], doc[by], alone[by], new[by], b[by]
+    cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1], [True]))) if len(b) else np.zeros(1, np.int64)
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        hh, one = h[i:j], alone[i:j]
+        docs, counts = _runs(doc[i:j][one])
+        add(bucket=int(b[i]), chunk=chunk, docs=docs.tobytes(), counts=counts.tobytes(), hashes=tc.pack48(hh[one]), several=tc.pack48(hh[new[i:j] & ~one]))
+    return pa.RecordBatch.from_pydict(rows, schema)
 
 
 def _post(width: int, buckets: int):
+    """(doc_id, text, mark) -> POSTED, a slab of about POSTED_BYTES at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string())] + [(k, pa.binary()) for k in ("counts", "hashes", "several", "ids", "nulls", "sizes", "keys")])
+        ids, nulls, marks, sets, held = [], [], [], [], 0
+
+        def slab() -> pa.RecordBatch:
+            out = _posted(np.concatenate(ids), np.concatenate(nulls), np.concatenate(marks), list(sets), buckets)
+            for x in (ids, nulls, marks, sets):
+                x.clear()
+            return out
+
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for lo, hi, data, bounds in tc.slabs(text):
-                sets = tc.shingle_sets(data, bounds, width)
-                sizes = np.array([len(s) for s in sets], np.uint32)
-                keys = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-                own = ids.slice(lo, hi - lo)
-                ids_raw = np.asarray(own.fill_null(0), np.int64)
-                nulls = np.asarray(own.is_null()).astype(np.uint8)
-                chunk = hashlib.blake2b(ids_raw.tobytes() + nulls.tobytes() + keys, digest_size=16).hexdigest()
-                h = np.concatenate(sets) & tc.U64(0xFFFFFFFFFFFF) if sets else np.zeros(0, tc.U64)
-                doc = np.repeat(np.arange(hi - lo, dtype=np.uint32), sizes)
-                order = np.argsort(h, kind="stable")
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                last = np.ones(len(h), bool)
-                last[:-1] = new[1:]
-                alone = new & last  # in one text of this slab
-                here = np.bincount(doc[~alone], minlength=hi - lo).astype(np.uint32)
-                rows: dict[str, list] = {k: [] for k in schema.names}
-
-                def add(**x):
-                    for k, v in rows.items():
-                        v.append(x.get(k))
-
-                add(bucket=-1 - int(chunk[:8], 16) % buckets, chunk=chunk, counts=here.tobytes(), ids=ids_raw.tobytes(), nulls=nulls.tobytes(), sizes=sizes.tobytes(), keys=keys)
-                b = (h % tc.U64(buckets)).astype(np.int32)
-                by = np.argsort(b, kind="stable")
-                h, doc, alone, new, b = h[by], doc[by], alone[by], new[by], b[by]
-                cut = np.searchsorted(b, np.arange(buckets + 1))
-                for k in range(buckets):
-                    i = slice(cut[k], cut[k + 1])
-                    if i.start == i.stop:
-                        continue
-                    hh, one, fst, dd = h[i], alone[i], new[i], doc[i]
-                    by_doc = np.argsort(dd[one], kind="stable")
-                    add(bucket=k, chunk=chunk, counts=np.bincount(dd[one], minlength=hi - lo).astype(np.uint32).tobytes(), hashes=tc.pack48(hh[one][by_doc]), several=tc.pack48(hh[fst & ~one]))
-                yield pa.RecordBatch.from_pydict(rows, schema)
+            for lo, hi, data, bounds in tc.slabs(batch.column(1)):
+                own = batch.column(0).slice(lo, hi - lo)
+                ids.append(np.asarray(own.fill_null(0), np.int64))
+                nulls.append(np.asarray(own.is_null()).astype(np.uint8))
+                marks.append(np.asarray(batch.column(2).slice(lo, hi - lo), np.int64))
+                sets += tc.shingle_sets(data, bounds, width)
+                held += len(data)
+                if held >= POSTED_BYTES:
+                    yield slab()
+                    held = 0
+        if sets:
+            yield slab()
 
     return run
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For a bucket: how many of each text's own hashes any other slab has too."""
+    """For a bucket: how many of each text's own hashes any other slab has too; texts with none are left out."""
     if pdf["bucket"].iloc[0] < 0:
-        return pdf[["chunk", "counts", "ids", "nulls", "sizes", "keys"]]
+        return pdf[["chunk", "docs", "counts", "ids", "nulls", "marks", "sizes", "keys"]]
     own = [tc.unpack48(x) for x in pdf["hashes"]]
     every = np.concatenate(own + [tc.unpack48(x) for x in pdf["several"]])
     every.sort()
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for h, counts in zip(own, pdf["counts"]):
-        c = np.frombuffer(counts, np.uint32)
-        doc = np.repeat(np.arange(len(c)), c)
+    del every
+    chunks, docs, counts = [], [], []
+    for chunk, h, d, c in zip(pdf["chunk"], own, pdf["docs"], pdf["counts"]):
+        if not len(twice) or not len(h):
+            continue
         at = np.searchsorted(twice, h)
-        hit = twice[np.minimum(at, len(twice) - 1)] == h if len(twice) else np.zeros(len(h), bool)
-        out.append(np.bincount(doc[hit], minlength=len(c)).astype(np.uint32).tobytes())
-    return pd.DataFrame({"chunk": pdf["chunk"], "counts": out, "ids": None, "nulls": None, "sizes": None, "keys": None})
+        hit = twice[np.minimum(at, len(twice) - 1)] == h
+        doc = np.repeat(np.frombuffer(d, np.uint32), np.frombuffer(c, np.uint32))[hit]
+        if len(doc):
+            one, times = _runs(doc)
+            chunks.append(chunk)
+            docs.append(one.tobytes())
+            counts.append(times.tobytes())
+    return pd.DataFrame({"chunk": chunks, "docs": docs, "counts": counts, "ids": None, "nulls": None, "marks": None, "sizes": None, "keys": None})
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
     """For a slab: a row for each text."""
-    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["counts"])
-    # A slab whose content another equals byte for byte has the same chunk name: all its rows count.
     tops = pdf[pdf["ids"].notna()]
-    times = len(tops)
-    total = total if times == 1 else np.full_like(total, 1 << 40)
+    total = np.zeros(max(len(x) for x in tops["nulls"]), np.int64)
+    # A slab whose content another equals byte for byte has the same chunk name: all its rows count.
+    if len(tops) > 1:
+        total[:] = 1 << 40
+    else:
+        for docs, counts in zip(pdf["docs"], pdf["counts"]):
+            total[np.frombuffer(docs, np.uint32)] += np.frombuffer(counts, np.uint32)
     out = []
     for _, top in tops.iterrows():
         ids = pd.Series(np.frombuffer(top["ids"], np.int64)).astype("Int64")
         ids[np.frombuffer(top["nulls"], np.uint8).astype(bool)] = pd.NA
         keys = top["keys"]
-        out.append(pd.DataFrame({"doc_id": ids, "n": np.frombuffer(top["sizes"], np.uint32).astype(np.int64), "key": [keys[i : i + 16] for i in range(0, len(keys), 16)], "shared": total}))
+        out.append(pd.DataFrame({"doc_id": ids, "mark": np.frombuffer(top["marks"], np.int64), "n": np.frombuffer(top["sizes"], np.uint32).astype(np.int64), "key": [keys[i : i + 16] for i in range(0, len(keys), 16)], "shared": total[: len(ids)]}))
     return pd.concat(out)
 
 
+def text_mark() -> Column:
+    """A 64-bit hash of the text: with the id, what names a row."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def shingle_ledger(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, text) -> a written table (doc_id, n, key, shared): set size, the set's hash,
-    and at least as many of its shingles as occur in other texts."""
+    """(doc_id, text) -> a written table (doc_id, mark, n, key, shared): the text's hash, set size,
+    the set's hash, and at least as many of its shingles as occur in other texts."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * partitions(spark), math.ceil(size / 6 / BUCKET))
-    posted = docs.select("doc_id", "text").mapInArrow(_post(width, buckets), POSTED)
-    part = "chunk string, counts binary, ids binary, nulls binary, sizes binary, keys binary"
+    posted = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(_post(width, buckets), POSTED)
+    part = "chunk long, docs binary, counts binary, ids binary, nulls binary, marks binary, sizes binary, keys binary"
     counted = posted.groupBy("bucket").applyInPandas(_shared, part)
-    return written(counted.groupBy("chunk").applyInPandas(_gather, "doc_id long, n long, key binary, shared long"), "shingle-ledger")
+    return written(counted.groupBy("chunk").applyInPandas(_gather, "doc_id long, mark long, n long, key binary, shared long"), "shingle-ledger")
 
 
 # ---- steps 2 and 3 ------------------------------------------------------------------------
@@ -197,7 +249,7 @@ def signatures(s: np.ndarray, df: np.ndarray, boundary: int, percent: int = PERC
 def _by_bucket(pdf: pd.DataFrame, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's sets, its distinct 48-bit hashes by bucket, how many sets hold each, the buckets' bounds."""
     sets = [np.frombuffer(x, tc.U64) for x in pdf["hashes"]]
-    h, c = np.unique(np.concatenate(sets) & tc.U64(0xFFFFFFFFFFFF), return_counts=True)
+    h, c = np.unique(np.concatenate(sets) & LOW48, return_counts=True)
     by = np.argsort(h % tc.U64(buckets), kind="stable")
     h, c = h[by], c[by]
     return sets, h, c, np.searchsorted((h % tc.U64(buckets)).astype(np.int64), np.arange(buckets + 1))
@@ -233,7 +285,7 @@ def _sign(buckets: int, boundary: int, percent: int):
         h, level = h[order], level[order]
         sig = []
         for s in sets:
-            df = level[np.searchsorted(h, s & tc.U64(0xFFFFFFFFFFFF))]
+            df = level[np.searchsorted(h, s & LOW48)]
             by = np.argsort(df, kind="stable")  # equally rare ones in the order of their hashes
             sig.append(signatures(s[by], df[by], boundary, percent))
         n = [len(x) for x in sig]
@@ -251,7 +303,7 @@ def posts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = sets.agg(F.sum("n"), F.count("*")).first()
     total = size[0] or 0
     buckets = max(partitions(sets.sparkSession), math.ceil(total / BUCKET))
-    chunked = sets.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(partitions(sets.sparkSession), math.ceil(total / BUCKET)))))
+    chunked = sets.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(partitions(sets.sparkSession), math.ceil(total / CHUNK)))))
     out = chunked.groupBy("chunk").applyInPandas(_count_out(buckets), "bucket int, chunk long, hashes binary, counts binary")
     levels = written(out.groupBy("bucket").applyInPandas(_count_back, "bucket int, chunk long, levels binary"), "shingle-levels")
 
@@ -334,21 +386,52 @@ def _block_links(percent: int, pairs: bool):
     return run
 
 
-def _met_in_blocks(posted: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, pairs: bool) -> DataFrame:
-    """(sig, key, n) of all lists, (key, size) of classes -> what _block_links() finds in all blocks."""
+def _in_blocks(member: DataFrame) -> DataFrame:
+    """(key, part, blocks) -> (key, block, i, j): every two blocks of a part."""
+    name = lambda b: F.xxhash64("part", b)
+    each = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("key", name(F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("block"), name(F.col("other")).alias("other"))
+    return each.select("key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _along_lists(posted: DataFrame) -> DataFrame:
+    """(sig, key, n) of the lists of large parts -> (key, block, i, j): blocks that a list spans."""
+    lead = posted.groupBy("sig").agg(F.min("key").alias("v"))
+    home = posted.join(lead, "sig").groupBy("key", "n").agg(F.min("v").alias("home"))
+    need = home.groupBy("home").agg(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES).alias("need"))
+    packs = max(1, math.ceil(need.filter("need < 0.5").agg(F.sum("need")).first()[0] or 0))
+    packed = F.xxhash64(F.lit("packed"), F.pmod(F.xxhash64("home"), F.lit(packs)))
+    own = F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil("need").cast("long")))
+    block = home.join(need, "home").select("key", F.when(F.col("need") < 0.5, packed).otherwise(own).alias("block"))
+    at = written(posted.select("sig", "key").join(block, "key"), "jaccard-spans")
+    other = at.select("sig", F.col("block").alias("other")).distinct()
+    met = at.join(other, "sig").select("key", "block", "other").distinct()  # a block meets itself too
+    return met.select("key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def meetings(posted: DataFrame) -> DataFrame:
+    """(sig, key, n) of all lists -> (key, block, i, j): each set, its block, and the pairs of blocks it goes to.
+
+    Blocks are named by 64-bit hashes; two of one name would be one larger block, nothing else.
+    """
     lead = posted.groupBy("sig").agg(F.min("key").alias("v"))
     near = posted.select("sig", F.col("key").alias("u")).join(lead, "sig").select("u", "v").distinct()
     part = components(near).toDF("key", "part")
-    member = posted.select("key", "n").distinct().join(part, "key").join(sizes, "key")
+    member = posted.select("key", "n").distinct().join(part, "key")
     size = member.groupBy("part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("s") / BLOCK_SHINGLES)).cast("long")
-    dealt = member.join(size.select("part", blocks.alias("blocks")), "part").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = dealt.select("part", "key", "size", "block", other.alias("other"))
-    met = met.select("part", "key", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    held = met.join(sets.select("key", "hashes"), "key")
+    member = written(member.join(size.select("part", blocks.alias("blocks")), "part"), "jaccard-members")
+    discard(part)
+    met = _in_blocks(member.filter(F.col("blocks") <= FEW_BLOCKS))
+    large = member.filter(F.col("blocks") > FEW_BLOCKS)
+    return met if large.isEmpty() else met.unionByName(_along_lists(posted.join(large.select("key"), "key")))
+
+
+def _met_in_blocks(posted: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """(sig, key, n) of all lists, (key, size) of classes -> what _block_links() finds in all blocks."""
+    held = meetings(posted).join(sizes, "key").join(sets.select("key", "hashes"), "key")
     schema = "u binary, v binary" + ", n long" * (not pairs)
-    return written(held.groupBy("part", "i", "j").applyInPandas(_block_links(percent, pairs), schema), "jaccard-links")
+    return written(held.groupBy("i", "j").applyInPandas(_block_links(percent, pairs), schema), "jaccard-links")
 
 
 def _linked(docs: DataFrame, width: int, percent: int, pairs: bool) -> tuple[DataFrame, DataFrame]:
@@ -386,14 +469,19 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     return ledger, comp, found.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n_links"))
 
 
-def linked_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+def _groups(ledger: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, top) of all sets: top is the key that names the set's component."""
+    return ledger.filter("n > 0").select("key").distinct().join(comp, "key", "left").select("key", F.coalesce("component", "key").alias("top"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> a row for each: doc_id, n_shingles, component_id, n_links.
 
     n_links is the number of other documents that the document links to.
     """
     ledger, comp, links = jaccard_classes(docs, width, percent)
     least = ledger.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
-    named = least.join(comp, "key", "left").withColumn("top", F.coalesce("component", "key"))
+    named = least.join(_groups(ledger, comp), "key")
     tops = named.groupBy("top").agg(F.min("least").alias("component_id"), F.sum("c").alias("all"))
     n = (F.col("c") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")
     ids = named.join(tops.filter("all > 1").drop("all"), "top").join(links, "key", "left").select("key", "component_id", n)
@@ -402,9 +490,31 @@ def linked_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -
     return ledger.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), of, n_links)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) -> a row for each: doc_id, n_shingles, component_id."""
-    return linked_duplicates(docs, width, percent).drop("n_links")
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without those that link to one that stays.
+
+    Of each group of linked rows the one with the least id stays (null ids last, then by the
+    text's hash). Rows that repeat both id and text are one; of their other columns the least
+    values in the order of the columns stay. Rows without shingles link with nothing and all stay.
+    """
+    ledger, comp, _ = jaccard_classes(docs, width, percent)
+    rows = ledger.filter("n > 0").groupBy("key", "doc_id", "mark").agg(F.count("*").alias("c"))
+    rows = written(rows.join(_groups(ledger, comp), "key").select("top", "doc_id", "mark", "c"), "jaccard-rows")
+    first = rows.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("x"), F.sum("c").alias("all"))
+    stays = first.filter("all > 1").select(F.col("top").alias("of"), F.col("x.doc_id").alias("id"), F.col("x.mark").alias("own"))
+    met = rows.join(stays, F.col("top") == F.col("of"))
+    is_it = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own"))
+    gone = met.filter(~is_it).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text"))
+    again = met.filter(is_it & (F.col("c") > 1)).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text"))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), text_mark().alias("_mark"))
+    at = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_mark") == F.col("_text"))
+    some = not again.isEmpty()
+    left = named.join((gone.unionByName(again) if some else gone).hint("shuffle_hash"), at, "left_anti")
+    out = left.select("_row.*")
+    if some:
+        once = named.join(again, at, "left_semi").groupBy("_id", "_mark").agg(F.min("_row").alias("_row"))
+        out = out.unionByName(once.select("_row.*"))
+    return out
 
 
 #: The same rows of the query over documents, for an independent engine.
@@ -417,7 +527,8 @@ n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
 p AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b USING (h) WHERE a.r < b.r GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
 e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
-c AS (SELECT r, r AS at FROM d UNION SELECT c.r, e.v FROM c JOIN e ON e.u = c.at)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(f.doc_id) AS component_id
-FROM d LEFT JOIN n ON n.r = d.r JOIN c ON c.r = d.r JOIN d f ON f.r = c.at GROUP BY d.r, d.doc_id
+c AS (SELECT r, r AS at FROM d UNION SELECT c.r, e.v FROM c JOIN e ON e.u = c.at),
+k AS (SELECT u AS r, count(*) AS k FROM e GROUP BY u)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(f.doc_id) AS component_id, coalesce(any_value(k.k), 0)::BIGINT AS n_links
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN k ON k.r = d.r JOIN c ON c.r = d.r JOIN d f ON f.r = c.at GROUP BY d.r, d.doc_id
 """

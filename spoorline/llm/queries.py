@@ -24,11 +24,6 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query
-def op9_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.linked_duplicates(table(spark, sf_dir, "documents"))
-
-
 @query
 def op1_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
