@@ -27,11 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Rows without shingles or without an id stay; rows that repeat an id stay or go together.
+    Rows without shingles stay; of rows that repeat an id and a text one stays. Different texts
+    under one id are documents of their own.
     """
-    found = ngramjoin.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.filter("n_shingles > 0 AND doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    return ngramjoin.one_of_each_group(docs.select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
