@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Names of schedules (None: none of fixed times) and the fields' bounds.
 PRESETS: dict[str, str | None] = {
     "@once": None,
-    "@continuous": None,
     "@hourly": "0 * * * *",
     "@daily": "0 0 * * *",
     "@midnight": "0 0 * * *",
@@ -17,6 +16,7 @@ PRESETS: dict[str, str | None] = {
     "@quarterly": "0 0 1 */3 *",
     "@yearly": "0 0 1 1 *",
     "@annually": "0 0 1 1 *",
+    "@continuous": None,
     "hourly": "0 * * * *",
     "daily": "0 0 * * *",
     "weekly": "0 0 * * 0",
@@ -75,6 +75,6 @@ def normalize_cron(text: Column) -> Column:
     return (
         F.when(low.isin(*PRESETS), preset)
         .when(_valid_cron(t), F.array_join(F.split(t, r"\s+"), " "))
-        .when(low.rlike(r"^daily\s+[0-9]{1,2}:[0-9]{2}(\s+utc)?"), daily)
+        .when(low.rlike(r"^daily\s+[0-9]{1,2}:[0-9]{2}(\s+utc)?$"), daily)
         .when(unit != "", every)
     )
