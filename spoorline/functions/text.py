@@ -8,32 +8,66 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Keys whose values are never logged, and what stands for them.
-SENSITIVE_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "credential", "access_key", "private_key")
-REDACTED = "[REDACTED]"
-LONGEST_TEXT, LONGEST_LIST = 2000, 100
+# Keys whose values are never logged, what stands for them, and the patterns of
+# credentials in urls, authorization headers and named secrets.
+SENSITIVE_KEYS = (
+    "authorization",
+    "password",
+    "passwd",
+    "secret",
+    "token",
+    "access_token",
+    "refresh_token",
+    "api_key",
+    "anthropic_api_key",
+    "extra_headers",
+    "aws_access_key_id",
+    "aws_secret_access_key",
+    "aws_session_token",
+    "github_token",
+    "gh_token",
+    "cookie",
+    "set-cookie",
+    "headers",
+    "source_text",
+    "prompt",
+    "response",
+    "body",
+    "expression",
+    "bindings",
+    "traceback",
+    "exception_message",
+)
+REDACTED, CUT, TOO_DEEP = "[redacted]", "[truncated]", "[depth-limit]"
+# Letters and blanks are Unicode's; both engines' own classes know ASCII alone.
+URL_CREDENTIALS = r"(?i)(^|[^\p{L}\p{N}_])([a-z][a-z0-9+.-]*://)[^\s\p{Z}/@]+:[^\s\p{Z}/@]+@"
+AUTHORIZATION = r"(?i)(^|[^\p{L}\p{N}_])(bearer|basic)[\s\p{Z}]+[^\s\p{Z},;]+"
+NAMED_SECRET = r"(?i)((?:password|secret|token|api[_-]?key|access[_-]?key)[\p{L}\p{N}_-]*[\s\p{Z}]*[=:][\s\p{Z}]*)[^\s\p{Z}&,;]+"
+LONGEST_TEXT, LONGEST_LIST, DEEPEST = 2000, 100, 8
 HEADER_KEYS = ("source", "target", "owner", "grain", "schedule", "dependencies", "description")
 
 
 def redact(text: Column) -> Column:
-    """Credentials in urls, authorization values and key=value secrets become [REDACTED]."""
-    out = F.regexp_replace(text, r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@ \t\n:]+:[^/@ \t\n]+@", "$1" + REDACTED + "@")
-    out = F.regexp_replace(out, r"(?i)(bearer|basic) +[A-Za-z0-9._~+/=-]+", "$1 " + REDACTED)
-    return F.regexp_replace(out, r"(?i)(password|passwd|secret|token|api_?key|access_key|private_key)( *[=:] *)[^ ,;&\t\n]+", "$1$2" + REDACTED)
+    """Credentials in urls, authorization values and key=value secrets become [redacted]."""
+    out = F.regexp_replace(text, URL_CREDENTIALS, f"$1$2{REDACTED}@")
+    out = F.regexp_replace(out, AUTHORIZATION, f"$1$2 {REDACTED}")
+    return F.regexp_replace(out, NAMED_SECRET, f"$1{REDACTED}")
 
 
-#: The same in RE2's and DuckDB's notation.
-REDACT_SQL = r"""regexp_replace(regexp_replace(regexp_replace({0}, '([A-Za-z][A-Za-z0-9+.-]*://)[^/@ \t\n:]+:[^/@ \t\n]+@', '\1[REDACTED]@', 'g'),
- '(?i)(bearer|basic) +[A-Za-z0-9._~+/=-]+', '\1 [REDACTED]', 'g'), '(?i)(password|passwd|secret|token|api_?key|access_key|private_key)( *[=:] *)[^ ,;&\t\n]+', '\1\2[REDACTED]', 'g')"""
+def redact_sql(column: str) -> str:
+    """The same in DuckDB's notation."""
+    return rf"""regexp_replace(regexp_replace(regexp_replace({column}, '{URL_CREDENTIALS}', '\1\2{REDACTED}@', 'g'), '{AUTHORIZATION}', '\1\2 {REDACTED}', 'g'), '{NAMED_SECRET}', '\1{REDACTED}', 'g')"""
 
 
-def redact_value(key: Column, value: Column) -> Column:
-    """The value of a field, hidden altogether under a sensitive key."""
-    return F.when(F.lower(key).rlike("|".join(SENSITIVE_KEYS)), F.lit(REDACTED)).otherwise(redact(value))
+def redact_value(key: Column, value: Column, depth: int = 0) -> Column:
+    """The value of a field, hidden altogether under a sensitive key or below the deepest level."""
+    if depth > DEEPEST:
+        return F.lit(TOO_DEEP)
+    return F.when(F.lower(key).isin(*SENSITIVE_KEYS), F.lit(REDACTED)).otherwise(truncate(redact(value)))
 
 
 def truncate(text: Column, longest: int = LONGEST_TEXT) -> Column:
-    return F.when(F.char_length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("..."))).otherwise(text)
+    return F.when(F.char_length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit(CUT))).otherwise(text)
 
 
 def first_of_list(items: Column, most: int = LONGEST_LIST) -> tuple[Column, Column]:
