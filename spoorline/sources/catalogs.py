@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from spoorline.sources.names import dataset_id
-
 
 def from_mapping(tables: dict) -> dict[str, list[str]]:
     """{db: {table: [columns]}} or a catalogue document -> columns by lower-case db.table."""
@@ -52,5 +50,3 @@ def spark_catalog(spark: SparkSession):
 
     return columns
 
-
-assert dataset_id("A.b", "spark") == "glue://a/b"
