@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,9 @@ from spoorline.operators import exports, graph, impact, policy, products
 from spoorline.plans import airflow
 from spoorline.plans.frames import Interpreter
 from spoorline.plans.sqlfront import Analysis, Result
-from spoorline.plans.strings import HOLE
 from spoorline.schemas import SCHEMAS
 from spoorline.sources import catalogs, repo
-from spoorline.sources.products import read_products
+from spoorline.sources.products import read_products, readable_products
 
 Rows = dict[str, list[dict]]
 
@@ -35,6 +35,16 @@ class Context:
     sql_engine: str
     texts: dict[str, str]
 
+    @cached_property
+    def _endings(self) -> dict[str, list[str]]:
+        """The files by each ending of their paths, so a look-up scans nothing."""
+        return _by_ending(self.texts, lambda p: p)
+
+    @cached_property
+    def _inner_endings(self) -> dict[str, list[str]]:
+        """The same by paths within their archives."""
+        return _by_ending(self.texts, lambda p: re.sub(r"^.*!/", "", p))
+
     def module(self, caller: str) -> Callable[[str, int], tuple[str, str] | None]:
         """Modules of the repository as a file sees them: the one file of that name, or its neighbour."""
 
@@ -44,7 +54,7 @@ class Context:
             if level:
                 base = "/".join(inside.split("/")[:-level])
                 ends = f"{base}/{ends}".strip("/")
-            hits = [p for p in self.texts if p.endswith(".py") and p != caller and f"/{re.sub(r'^.*!/', '', p)}".endswith((f"/{ends}.py", f"/{ends}/__init__.py"))]
+            hits = [p for e in (f"{ends}.py", f"{ends}/__init__.py") for p in self._inner_endings.get(e, ()) if p != caller]
             if len(hits) > 1:
                 hits = [p for p in hits if p.rpartition("/")[0] == caller.rpartition("/")[0]]
             return (self.texts[hits[0]], hits[0]) if len(hits) == 1 and ends else None
@@ -56,12 +66,20 @@ class Context:
         parts = [p for p in path.split("/") if p not in ("", ".")]
         for i in range(len(parts)):
             end = "/".join(parts[i:])
-            hits = [p for p in self.texts if p == end or p.endswith("/" + end)]
-            if hits:
+            if hits := self._endings.get(end):
                 return hits[0] if len(hits) == 1 else None
         return None
 
 
+def _by_ending(paths: Iterable[str], name: Callable[[str], str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for p in paths:
+        parts = name(p).split("/")
+        for i in range(len(parts)):
+            out.setdefault("/".join(parts[i:]), []).append(p)
+    return out
+
+
 class Reader:
     """A reader of source files: `accepts(path, text)` and `read(path, text, context)` -> rows by fact.
 
@@ -252,15 +270,37 @@ class Scan:
     def to_json(self) -> str:
         return exports.document(self.facts)
 
-    def to_catalog(self, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        return exports.catalog_tables(self.datasets, prior), exports.catalog_scripts(self.jobs, self.job_io, self.job_dependencies)
+    def to_catalog(self, prior: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Columns and scripts of the catalogue, put into a prior one (its columns and scripts) if there is one."""
+        columns, scripts = prior or (None, None)
+        mine = exports.catalog_scripts(self.jobs, self.job_io, self.job_dependencies)
+        return exports.catalog_columns(self.datasets, columns), exports.described_scripts(self.jobs, self.schedules, mine, scripts)
 
     def to_events(self) -> DataFrame:
         e = self.column_edges
-        direct = e.select("job_id", "target", "target_column", "kind", F.explode("sources").alias("r"), F.lit("direct").alias("role"))
-        indirect = e.select("job_id", "target", "target_column", "kind", F.explode(F.transform("indirect", lambda r: F.struct(r["dataset"].alias("dataset"), r["column"].alias("column")))).alias("r"), F.lit("indirect").alias("role"))
-        refs = direct.unionByName(indirect).select("job_id", "target", "target_column", F.col("r.dataset").alias("source"), F.col("r.column").alias("source_column"), "role", "kind")
-        return exports.lineage_events(self.jobs, exports.lineage_fields(refs), self.datasets)
+        of = ("job_id", "target", "target_column", "kind", "expression")
+        direct = e.select(*of, F.explode("sources").alias("r"), F.lit("direct").alias("role"))
+        indirect = e.select(*of, F.explode(F.transform("indirect", lambda r: F.struct(r["dataset"].alias("dataset"), r["column"].alias("column")))).alias("r"), F.lit("indirect").alias("role"))
+        refs = direct.unionByName(indirect).select(*of, F.col("r.dataset").alias("source"), F.col("r.column").alias("source_column"), "role")
+        return exports.lineage_events(self.jobs, exports.lineage_fields(refs), exports.field_kinds(e), self.datasets)
+
+    def described(self, answers: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+        """(node, description, decision, inherited, prompt): what is said of each written column.
+
+        known: (node, description) as people wrote them; answers: (node, proposed) to the prompts,
+        from whoever was asked. Nothing is asked from here. Columns that only copy another take its words.
+        """
+        node = F.concat_ws("#", "target", "target_column")
+        sources = F.transform("sources", lambda r: F.concat_ws("#", r["dataset"], r["column"]))
+        e = self.column_edges.select(node.alias("node"), "kind", "expression", sources.alias("sources"), "confidence")
+        by = e.groupBy("node").agg(F.min("kind").alias("kind"), F.array_join(F.array_sort(F.collect_set("expression")), "\n").alias("expression"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"), F.bool_and(F.col("confidence") == "exact").alias("complete"), F.count("*").alias("n"))
+        none = "node string, {} string"
+        rows = by.join(known if known is not None else self.spark.createDataFrame([], none.format("description")), "node", "left")
+        rows = rows.join(answers if answers is not None else self.spark.createDataFrame([], none.format("proposed")), "node", "left")
+        decided = policy.description_decisions(rows).withColumn("description", F.when(F.col("decision") == "described", F.trim("proposed")).otherwise(F.col("description")))
+        copies = decided.filter("kind = 'identity' AND complete AND n = 1 AND size(sources) = 1").select(F.col("sources")[0].alias("src"), F.col("node").alias("dst"))
+        words = policy.inherit_descriptions(decided.select("node", "description"), copies)
+        return words.join(decided.select("node", "decision"), "node").join(policy.prompts(by.select("node", "kind", "expression", "sources")), "node").select("node", "description", "decision", "inherited", "prompt")
 
     @property
     def failed(self) -> bool:
@@ -298,7 +338,9 @@ def scan(
     all_rows: Rows = {k: [] for k in [*SCHEMAS, "comment_schedules"]}
     all_rows["unresolved"] += [{"kind": "source_unreadable", "source_file": r["path"], "reason": r["problem"], "line": 1, "job_id": ""} for r in found if r["problem"]]
     product_files = {p: t for p, t in texts.items() if os.path.basename(p) in ("product.yaml", "product.yml")}
-    for k, rows in read_products(product_files).items():
+    good, bad = readable_products(product_files)
+    all_rows["unresolved"] += [{"kind": "source_unreadable", "source_file": p, "reason": why, "line": 1, "job_id": ""} for p, why in bad.items()]
+    for k, rows in read_products(good).items():
         all_rows[k] += rows
     for r in found:
         if r["text"] is None or not r["is_entry"]:
@@ -353,6 +395,16 @@ def assembled(spark: SparkSession, rows: Rows, sources: DataFrame | None = None)
     return Scan(spark, f)
 
 
+def read_native(spark: SparkSession, path: str) -> Scan:
+    """A scan that to_json() wrote, from a file of any file system Spark reads.
+
+    Strict: another version, a fact or field that isn't known, a missing fact, or a value of
+    another type is an error.
+    """
+    [text] = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
+    return Scan(spark, exports.facts_of(spark, text))
+
+
 def review(scanned: Scan, proposals: DataFrame, shadow: bool = False) -> DataFrame:
     """Proposed column edges judged against the facts; nothing is asked from any service.
 
@@ -367,5 +419,3 @@ def review(scanned: Scan, proposals: DataFrame, shadow: bool = False) -> DataFra
     decided = policy.merge_decisions(ok.select("target", "key"), existing, shadow).distinct()
     return out.join(ok.join(decided.select("key", "decision"), "key").select("id", "decision"), "id", "left").withColumn("decision", F.coalesce("decision", F.lit("rejected")))
 
-
-assert HOLE

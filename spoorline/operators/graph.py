@@ -6,20 +6,35 @@ with direction `in` or `out`; edges are (src, dst). Iterations write each step t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.operators.shared import settled
 
 
-def _sorted_set(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull())))
+def _united(df: DataFrame, key: str, *arrays: str) -> DataFrame:
+    """(key, arrays) with the arrays of all rows of a key as sorted sets.
+
+    Values are made distinct within tasks first, so a key of many rows brings its set to one task
+    and not all its rows' arrays.
+    """
+    values = reduce(DataFrame.unionAll, [df.select(key, F.lit(a).alias("of"), F.explode(a).alias("x")) for a in arrays]).filter("x IS NOT NULL").distinct()
+    return values.groupBy(key).agg(*[F.array_sort(F.collect_set(F.when(F.col("of") == a, F.col("x")))).alias(a) for a in arrays])
+
+
+def _with_sets(facts: DataFrame, sets: DataFrame, key: str, *arrays: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    rest = [c for c in facts.columns if c != key]
+    return facts.join(sets, key, "left").select(key, *[F.coalesce(a, none).alias(a) for a in arrays], *rest)
 
 
 def merge_datasets(datasets: DataFrame) -> DataFrame:
     """One row for each id: arrays united, and the first stated location, product and layer by seq."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    return datasets.groupBy("id").agg(_sorted_set(F.col("aliases")).alias("aliases"), _sorted_set(F.col("columns")).alias("columns"), first("physical_location"), first("product"), first("layer"))
+    facts = datasets.groupBy("id").agg(first("physical_location"), first("product"), first("layer"))
+    return _with_sets(facts, _united(datasets, "id", "aliases", "columns"), "id", "aliases", "columns")
 
 
 def canonical_aliases(pairs: DataFrame, rounds: int = 64) -> DataFrame:
@@ -67,7 +82,8 @@ def merge_jobs(jobs: DataFrame) -> DataFrame:
     """One row for each job_id with inputs and outputs united and the first stated facts by seq."""
     facts = [c for c in jobs.columns if c not in ("job_id", "inputs", "outputs", "seq")]
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in facts]
-    return jobs.groupBy("job_id").agg(_sorted_set(F.col("inputs")).alias("inputs"), _sorted_set(F.col("outputs")).alias("outputs"), *first)
+    named = jobs.groupBy("job_id").agg(*first) if first else jobs.select("job_id").distinct()
+    return _with_sets(named, _united(jobs, "job_id", "inputs", "outputs"), "job_id", "inputs", "outputs")
 
 
 def enrich_products(datasets: DataFrame, databases: DataFrame) -> DataFrame:
@@ -150,7 +166,7 @@ def merge_evidence(data: DataFrame, dag: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     a = data.select("job_id", "upstream", F.lit("data").alias("source"), "via", "in_place_writer")
     b = dag.select("job_id", "upstream", F.lit("dag").alias("source"), none.alias("via"), F.lit(False).alias("in_place_writer"))
-    return a.unionByName(b).groupBy("job_id", "upstream").agg(F.array_sort(F.collect_set("source")).alias("sources"), _sorted_set(F.col("via")).alias("via"), F.bool_or("in_place_writer").alias("in_place_writer"))
+    return a.unionByName(b).groupBy("job_id", "upstream").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("via")))).alias("via"), F.bool_or("in_place_writer").alias("in_place_writer"))
 
 
 def dedup(df: DataFrame) -> DataFrame:

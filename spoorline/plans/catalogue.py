@@ -63,28 +63,18 @@ def dataset_merge_columns(spark, d):
     return graph.merge_datasets(rows).select("id", F.array_join("aliases", ",").alias("aliases"), F.array_join("columns", ",").alias("columns"), "product")
 
 
-@query("""WITH RECURSIVE p AS (SELECT c_custkey AS a, c_custkey // 2 AS o FROM customer WHERE c_custkey >= 2 AND c_custkey % 5 <> 0),
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS a, c_custkey // 2 AS o FROM customer WHERE c_custkey >= 2),
  w AS (SELECT a, o FROM p UNION ALL SELECT w.a, p.o FROM w JOIN p ON w.o = p.a)
  SELECT 'c:' || a AS alias, 'c:' || min(o) AS canonical FROM w GROUP BY a""")
 def alias_canonicalize(spark, d):
-    c = B.table(spark, d, "customer").filter("c_custkey >= 2 AND c_custkey % 5 != 0")
+    c = B.table(spark, d, "customer").filter("c_custkey >= 2")
     return graph.canonical_aliases(c.select(B.name("c", "c_custkey").alias("alias"), B.name("c", F.floor(F.col("c_custkey") / 2)).alias("owner")))
 
 
-@query("""WITH c AS (SELECT DISTINCT 'p:' || l_partkey AS alias, 's:' || l_suppkey AS owner FROM lineitem WHERE l_linenumber = 1)
- SELECT alias, count(*) AS n_owners, string_agg(owner, ',' ORDER BY owner) AS owners FROM c GROUP BY alias""")
-def alias_owners(spark, d):
-    return _owners(B.table(spark, d, "lineitem").filter("l_linenumber = 1"))
-
-
 @query("""WITH c AS (SELECT DISTINCT 'p:' || l_partkey AS alias, 's:' || l_suppkey AS owner FROM lineitem)
  SELECT alias, count(*) AS n_owners, string_agg(owner, ',' ORDER BY owner) AS owners FROM c GROUP BY alias""")
-def alias_owners_all_lines(spark, d):
-    return _owners(B.table(spark, d, "lineitem"))
-
-
-def _owners(lines):
-    li = lines.groupBy(B.name("s", "l_suppkey").alias("id")).agg(F.collect_set(B.name("p", "l_partkey")).alias("aliases"))
+def alias_owners(spark, d):
+    li = B.table(spark, d, "lineitem").groupBy(B.name("s", "l_suppkey").alias("id")).agg(F.collect_set(B.name("p", "l_partkey")).alias("aliases"))
     one, many = graph.alias_owners(li)
     rows = one.select("alias", F.array("owner").alias("owners")).unionByName(many.select("alias", "owners"))
     return rows.select("alias", F.size("owners").cast("long").alias("n_owners"), F.array_join("owners", ",").alias("owners"))
@@ -201,16 +191,12 @@ def lineage_summary(spark, d):
     return graph.summary(B.table(spark, d, "lineitem").select(conf.alias("confidence")), B.table(spark, d, "events").select(F.col("event_type").alias("kind")))
 
 
-SIDES = """a AS (SELECT 'p' || l_partkey || '<-' || string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS key, min(l_returnflag) AS kind FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_partkey),
- b AS (SELECT 'p' || l_partkey || '<-' || string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS key, min(l_returnflag) AS kind FROM lineitem WHERE l_linenumber <= 2 AND (l_partkey % 3 > 0 OR l_quantity < 40) GROUP BY l_partkey)"""
-
-
-#: The same over every line.
-ALL_SIDES = SIDES.replace("WHERE l_linenumber <= 2 GROUP", "GROUP").replace("l_linenumber <= 2 AND ", "")
+SIDES = """a AS (SELECT 'p' || l_partkey || '<-' || string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS key, min(l_returnflag) AS kind FROM lineitem GROUP BY l_partkey),
+ b AS (SELECT 'p' || l_partkey || '<-' || string_agg(DISTINCT 's' || l_suppkey, ',' ORDER BY 's' || l_suppkey) AS key, min(l_returnflag) AS kind FROM lineitem WHERE l_partkey % 3 > 0 OR l_quantity < 40 GROUP BY l_partkey)"""
 
 
-def _sides(spark, d, lines="l_linenumber <= 2"):
-    li = B.table(spark, d, "lineitem").filter(lines)
+def _sides(spark, d):
+    li = B.table(spark, d, "lineitem")
     side = lambda df: df.groupBy("l_partkey").agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("s"), F.min("l_returnflag").alias("kind")).select(policy.edge_key(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("s")).alias("key"), "kind")
     return side(li), side(li.filter("l_partkey % 3 > 0 OR l_quantity < 40"))
 
@@ -220,11 +206,6 @@ def edge_set_compare(spark, d):
     return policy.compared(*_sides(spark, d))
 
 
-@query(f"""WITH {ALL_SIDES} SELECT key, CASE WHEN b.key IS NULL THEN 'deterministic_only' WHEN a.key IS NULL THEN 'ai_only' WHEN a.kind = b.kind THEN 'agreed' ELSE 'transformation' END AS verdict FROM a FULL JOIN b USING (key)""")
-def edge_set_compare_all_lines(spark, d):
-    return policy.compared(*_sides(spark, d, "true"))
-
-
 @query(f"""WITH {SIDES}, ex AS (SELECT key, split_part(key, '<-', 1) AS target, CASE kind WHEN 'A' THEN 'exact' ELSE 'partial' END AS confidence FROM a)
  SELECT split_part(b.key, '<-', 1) AS target, b.key, CASE WHEN b.key IN (SELECT key FROM ex) THEN 'unchanged' WHEN split_part(b.key, '<-', 1) IN (SELECT target FROM ex WHERE confidence = 'exact') THEN 'deferred' ELSE 'accepted' END AS decision FROM b""")
 def proposal_merge_decisions(spark, d):
@@ -233,14 +214,6 @@ def proposal_merge_decisions(spark, d):
     return policy.merge_decisions(b.select(target, "key"), a.select(target, "key", F.when(F.col("kind") == "A", "exact").otherwise("partial").alias("confidence")))
 
 
-@query(f"""WITH {ALL_SIDES}, ex AS (SELECT key, split_part(key, '<-', 1) AS target, CASE kind WHEN 'A' THEN 'exact' ELSE 'partial' END AS confidence FROM a)
- SELECT split_part(b.key, '<-', 1) AS target, b.key, CASE WHEN b.key IN (SELECT key FROM ex) THEN 'unchanged' WHEN split_part(b.key, '<-', 1) IN (SELECT target FROM ex WHERE confidence = 'exact') THEN 'deferred' ELSE 'accepted' END AS decision FROM b""")
-def proposal_merge_decisions_all_lines(spark, d):
-    a, b = _sides(spark, d, "true")
-    target = F.substring_index("key", "<-", 1).alias("target")
-    return policy.merge_decisions(b.select(target, "key"), a.select(target, "key", F.when(F.col("kind") == "A", "exact").otherwise("partial").alias("confidence")))
-
-
 @query("""WITH c AS (SELECT DISTINCT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst, l_returnflag AS job_id FROM lineitem)
  SELECT src, dst, job_id FROM c EXCEPT SELECT 's:' || l_suppkey, 'p:' || l_partkey, l_returnflag FROM lineitem WHERE l_quantity > 10""")
 def implied_table_edges(spark, d):
@@ -260,21 +233,21 @@ def description_inheritance(spark, d):
     return policy.inherit_descriptions(nodes, copies)
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS s, (n_nationkey * 2 + n_regionkey) % 25 AS t FROM nation WHERE n_nationkey % 3 <> 0),
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS s, (n_nationkey * 2 + n_regionkey) % 25 AS t FROM nation),
  r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s), names AS (SELECT n_nationkey AS n, least('n:' || n_nationkey, coalesce((SELECT min('n:' || r.t) FROM r JOIN r q ON q.s = r.t AND q.t = r.s WHERE r.s = n_nationkey), 'n:' || n_nationkey)) AS c FROM nation),
  l AS (SELECT DISTINCT a.c AS a, b.c AS b FROM e JOIN names a ON a.n = s JOIN names b ON b.n = t WHERE a.c <> b.c),
  p AS (SELECT c, 0 AS d FROM names UNION SELECT l.b, p.d + 1 FROM p JOIN l ON l.a = p.c)
  SELECT 'n:' || n AS node, names.c AS component, max(d) AS level FROM names JOIN p ON p.c = names.c GROUP BY n, names.c""")
 def description_topo_levels(spark, d):
     n = B.table(spark, d, "nation")
-    e = n.filter("n_nationkey % 3 != 0").select(B.name("n", "n_nationkey").alias("src"), B.name("n", (F.col("n_nationkey") * 2 + F.col("n_regionkey")) % 25).alias("dst"))
+    e = n.select(B.name("n", "n_nationkey").alias("src"), B.name("n", (F.col("n_nationkey") * 2 + F.col("n_regionkey")) % 25).alias("dst"))
     return policy.description_levels(n.select(B.name("n", "n_nationkey").alias("node")), e)
 
 
 # ---- texts --------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, sha256({text.REDACT_SQL.format('text')}) AS redacted_sha256 FROM documents")
+@query(f"SELECT doc_id, sha256({text.redact_sql('text')}) AS redacted_sha256 FROM documents")
 def redact_documents(spark, d):
     return B.table(spark, d, "documents").select("doc_id", text.digest(text.redact(F.col("text"))).alias("redacted_sha256"))
 
@@ -284,7 +257,7 @@ def digest_documents(spark, d):
     return B.table(spark, d, "documents").select("doc_id", text.digest(F.col("text")).alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS short FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '[truncated]' ELSE text END AS short FROM documents")
 def truncate_documents(spark, d):
     return B.table(spark, d, "documents").select("doc_id", text.truncate(F.col("text")).alias("short"))
 
@@ -373,13 +346,22 @@ def call_budget_plan(spark, d):
 # ---- exports ------------------------------------------------------------------------------------
 
 
-@query("""SELECT 'brand:' || p_brand AS job_id, 'out' AS output, p_type AS field, 'in:' || (p_partkey % 9) AS input, p_type AS input_field, CASE WHEN p_size > 25 THEN 'DIRECT' ELSE 'INDIRECT' END AS type,
- CASE WHEN p_size <= 25 THEN '' WHEN count(DISTINCT p_size % 3) > 1 OR min(p_size % 3) = 2 THEN 'TRANSFORMATION' WHEN min(p_size % 3) = 0 THEN 'IDENTITY' ELSE 'AGGREGATION' END AS subtype
- FROM part GROUP BY p_brand, p_type, p_partkey % 9, p_size > 25, p_size <= 25""")
+@query("""SELECT DISTINCT 'brand:' || p_brand AS job_id, 'out' AS output, p_type AS field, 'in:' || (p_partkey % 9) AS input, p_type AS input_field, CASE WHEN p_size > 25 THEN 'DIRECT' ELSE 'INDIRECT' END AS type,
+ CASE WHEN p_size <= 25 THEN NULL WHEN p_size % 3 = 2 THEN 'TRANSFORMATION' WHEN p_size % 3 = 0 THEN 'IDENTITY' ELSE 'AGGREGATION' END AS subtype, 'e' || (p_size % 4) AS description FROM part""")
 def openlineage_fields(spark, d):
+    return exports.lineage_fields(_part_refs(spark, d))
+
+
+def _part_refs(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("identity", "aggregation", "expression"))), (F.col("p_size") % 3 + 1).cast("int"))
-    refs = B.table(spark, d, "part").select(B.name("brand", "p_brand").alias("job_id"), F.lit("out").alias("target"), F.col("p_type").alias("target_column"), B.name("in", F.col("p_partkey") % 9).alias("source"), F.col("p_type").alias("source_column"), F.when(F.col("p_size") > 25, "direct").otherwise("indirect").alias("role"), kind.alias("kind"))
-    return exports.lineage_fields(refs)
+    return B.table(spark, d, "part").select(B.name("brand", "p_brand").alias("job_id"), F.lit("out").alias("target"), F.col("p_type").alias("target_column"), B.name("in", F.col("p_partkey") % 9).alias("source"), F.col("p_type").alias("source_column"), F.when(F.col("p_size") > 25, "direct").otherwise("indirect").alias("role"), kind.alias("kind"), F.concat(F.lit("e"), (F.col("p_size") % 4).cast("string")).alias("expression"), F.col("p_partkey").cast("int").alias("line_start"))
+
+
+@query("""WITH p AS (SELECT 'brand:' || p_brand AS job_id, p_type AS field, p_size % 3 AS k, 'e' || (p_size % 4) AS x, max(p_partkey) AS m FROM part GROUP BY ALL)
+ SELECT job_id, 'out' AS output, field, CASE WHEN count(DISTINCT k) > 1 THEN 'MIXED' WHEN min(k) = 0 THEN 'IDENTITY' WHEN min(k) = 1 THEN 'AGGREGATION' ELSE 'EXPRESSION' END AS "transformationType",
+ (SELECT string_agg(x, chr(10) ORDER BY m DESC) FROM (SELECT x, max(m) AS m FROM p q WHERE q.job_id = p.job_id AND q.field = p.field GROUP BY x)) AS "transformationDescription" FROM p GROUP BY job_id, field""")
+def openlineage_field_kinds(spark, d):
+    return exports.field_kinds(_part_refs(spark, d))
 
 
 @query(f"""WITH {B.DEPS}, n AS (SELECT job_id, string_agg(dataset_id, ',' ORDER BY dataset_id) FILTER (direction = 'in') AS r, string_agg(dataset_id, ',' ORDER BY dataset_id) FILTER (direction = 'out') AS w FROM job_io GROUP BY job_id),

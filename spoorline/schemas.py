@@ -21,6 +21,12 @@ SCHEMAS = {
     "declared": "product string, depends_on string, tables array<string>",
     "references": "source_file string, line int, callee string, direction string, value string, complete boolean, symbols array<string>, assumptions map<string, string>",
 }
+#: Facts that follow from others; those that a scan from memory lacks.
+DERIVED = {
+    "job_dependencies": "job_id string, upstream string, sources array<string>, via array<string>, in_place_writer boolean",
+    "modules": "module string, path string",
+}
+OPTIONAL = frozenset(["sources", "modules"])
 CONFIDENCE = ("exact", "inferred", "partial")
 LANGUAGES = ("sql", "python", "airflow")
 UNRESOLVED = ("dynamic_sql", "dynamic_path", "dynamic_table_name", "dynamic_schedule", "dynamic_control_flow", "missing_schema", "unknown_column", "unsupported_syntax", "external_job", "source_unreadable", "alias_conflict")

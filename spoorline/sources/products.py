@@ -9,6 +9,19 @@ class ProductError(ValueError):
     """A product file that contradicts another or lacks what it needs."""
 
 
+def readable_products(texts: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """The files that read_products() accepts together, and why each other one is left out."""
+    good: dict[str, str] = {}
+    bad: dict[str, str] = {}
+    for path, text in sorted(texts.items()):
+        try:
+            read_products(good | {path: text})
+            good[path] = text
+        except (ProductError, AttributeError, KeyError, TypeError) as e:
+            bad[path] = str(e) or type(e).__name__
+    return good, bad
+
+
 def read_products(texts: dict[str, str]) -> dict[str, list[dict]]:
     """All product files of a repository by path -> rows of products, product_databases, declared, schedules.
 
@@ -19,7 +32,10 @@ def read_products(texts: dict[str, str]) -> dict[str, list[dict]]:
     codes: dict[str, str] = {}
     databases: dict[str, str] = {}
     for path, text in sorted(texts.items()):
-        doc = yaml.safe_load(text)
+        try:
+            doc = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ProductError(f"{path}: {' '.join(str(e).split())[:200]}") from None
         doc = doc.get("product", doc) if isinstance(doc, dict) and isinstance(doc.get("product"), dict) else doc
         code = (doc or {}).get("code") if isinstance(doc, dict) else None
         if not code:

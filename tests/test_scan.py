@@ -52,8 +52,12 @@ def test_exports(scanned, tmp_path):
     assert json.loads(scanned.to_json())["version"] == "1" and scanned.to_json() == scanned.to_json()
     events = {r["job_id"]: json.loads(r["event"]) for r in scanned.to_events().collect()}
     fields = {f["field"]: f["inputFields"] for o in events["sql/revenue"]["outputs"] for f in o["columnLineage"]}
-    assert {"dataset": "glue://stage/orders", "field": "amount_eur", "type": "DIRECT", "subtype": "AGGREGATION"} in fields["revenue"]
-    assert events["sql/revenue"]["run"]["runId"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "sql/revenue"))
+    direct = {(f["namespace"], f["name"], f["field"]): f["transformations"] for f in fields["revenue"]}
+    assert [(t["type"], t.get("subtype")) for t in direct["stage", "orders", "amount_eur"]] == [("DIRECT", "AGGREGATION"), ("INDIRECT", None)]
+    kinds = {f["field"]: f["transformationType"] for o in events["sql/revenue"]["outputs"] for f in o["columnLineage"]}
+    assert kinds == {"order_id": "IDENTITY", "revenue": "AGGREGATION", "place": "WINDOW"}
+    assert {(i["namespace"], i["name"]) for i in events["sql/revenue"]["inputs"]} == {("stage", "orders"), ("shop", "customers")}
+    assert events["sql/revenue"]["run"]["runId"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "static:sql/revenue"))
     folder = exports.write_artifacts(tmp_path, {"a.json": "{}"}, "r1")
     assert json.loads((folder / "manifest.json").read_text())["files"].keys() == {"a.json"}
 
@@ -76,3 +80,76 @@ def test_plugins_and_products():
         read_products({"a/product.yaml": "code: x", "b/product.yaml": "code: x"})
     got = read_products({"p/product.yaml": "product: {code: x, owner: me, databases: [d], dependencies: [{product: y, reads: [t]}], orchestration: {steps: [{name: s, schedule: hourly}]}}"})
     assert got["declared"][0]["depends_on"] == "y" and got["schedules"][0]["id"] == "product.x.s"
+
+
+def test_saved_scans_come_back(spark, scanned, tmp_path):
+    path = tmp_path / "lineage.json"
+    path.write_text(scanned.to_json())
+    again = api.read_native(spark, str(path))
+    assert again.to_json() == scanned.to_json()
+    assert {(r["node"], r["hop"]) for r in again.impact("glue://shop/orders").collect()} == {(r["node"], r["hop"]) for r in scanned.impact("glue://shop/orders").collect()}
+    doc = json.loads(scanned.to_json())
+    for change in ({"version": "2"}, {"more": []}, {"jobs": [{"job_id": 1}]}, {"jobs": [{"jobid": "x"}]}, {"tasks": [{"is_root": "yes"}]}, {"column_edges": [{"sources": [{"table": "x"}]}]}):
+        path.write_text(json.dumps(doc | change))
+        with pytest.raises(ValueError):
+            api.read_native(spark, str(path))
+    path.write_text(json.dumps({k: v for k, v in doc.items() if k != "jobs"}))
+    with pytest.raises(ValueError):
+        api.read_native(spark, str(path))
+
+
+def test_catalogue_keeps_what_people_wrote(spark):
+    columns = "db_name string, db_type string, product string, layer string, table_name string, dataset_id string, field_name string, place int, description string"
+    prior = spark.createDataFrame([("mart", "athena", None, "gold", "t", "glue://mart/t", "z", 0, "last letter"), ("mart", "athena", None, "gold", "t", "glue://mart/t", "gone", 1, "kept"), ("mart", "postgres", None, None, "t", "postgres://mart/t", "z", 0, "another"), ("old", "", None, None, "x", None, None, None, None)], columns)
+    found = spark.createDataFrame([("glue://mart/t", "table", ["b", "a", "z"], "p", None), ("glue://mart/u", "table", [], None, None), ("frame://a/b", "table", ["c"], None, None), ("s3://b/c", "s3_path", ["c"], None, None), ("mysql://old/x", "table", ["c"], None, None)], "id string, kind string, columns array<string>, product string, layer string")
+    got = sorted(map(str, map(tuple, exports.catalog_columns(found, prior).collect())))
+    want = [("mart", "athena", "p", "gold", "t", "glue://mart/t", n, i, d) for i, (n, d) in enumerate([("z", "last letter"), ("gone", "kept"), ("a", ""), ("b", "")])]
+    want += [("mart", "athena", "p", "gold", "u", "glue://mart/u", None, 0, ""), ("mart", "postgres", None, None, "t", "postgres://mart/t", "z", 0, "another"), ("old", "mysql", None, None, "x", "mysql://old/x", "c", 0, "")]
+    assert got == sorted(map(str, want))
+    assert exports.catalog_columns(found).count() == 5
+    jobs = spark.createDataFrame([("a", "a", "new/a.sql", "sql", "s"), ("b", "b", "b.sql", "sql", None), ("c", "c", "c.sql", "sql", None)], "job_id string, name string, source_file string, language string, schedule_id string")
+    scripts = spark.createDataFrame([("a", "", "", "")], "job_id string, reads_from string, writes_to string, depends_on string")
+    when = spark.createDataFrame([("s", "@daily")], "id string, interval_text string")
+    old = spark.createDataFrame([("a", "a.sql", "of the job"), (None, "b.sql", "of the path"), ("z", "c2.sql", "no more")], "job_id string, script_path string, description string")
+    out = {r["job_id"]: (r["description"], r["schedule"]) for r in exports.described_scripts(jobs, when, scripts, old).collect()}
+    assert out == {"a": ("of the job", "@daily"), "b": ("of the path", None), "c": ("", None)}
+
+
+def test_answers_and_copies_describe_columns(spark, scanned):
+    asked = scanned.described()
+    assert all(r["decision"] in ("missing", "incomplete_lineage") for r in asked.collect())
+    answers = spark.createDataFrame([("glue://stage/orders#amount_eur", "The amount in euros."), ("glue://stage/orders#channel", "x"), ("glue://mart/features#total", "Not traced for sure.")], "node string, proposed string")
+    known = spark.createDataFrame([("glue://stage/orders#order_id", "Names the order.")], "node string, description string")
+    got = {r["node"]: r for r in scanned.described(answers, known).collect()}
+    say = lambda n: (got[n]["description"], got[n]["decision"], got[n]["inherited"])
+    assert say("glue://stage/orders#amount_eur") == ("The amount in euros.", "described", False)
+    assert say("glue://stage/orders#channel") == (None, "invalid", False)
+    assert say("glue://mart/features#total")[1] == "incomplete_lineage"
+    assert say("glue://mart/revenue#order_id") == ("Names the order.", "missing", True)
+    assert json.loads(got["glue://mart/revenue#order_id"]["prompt"])["sources"] == ["glue://stage/orders#order_id"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from spoorline.__main__ import main
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.sql").write_text("create table m.t as select a from s.t")
+    (tmp_path / "src/product.yaml").write_text("code: [")
+    assert main(["run", str(tmp_path / "src"), "--out-dir", str(tmp_path / "out")]) == 0
+    folder = capsys.readouterr().out.strip()
+    saved = f"{folder}/lineage.json"
+    problems = [r for r in json.load(open(saved))["unresolved"] if r["kind"] == "source_unreadable"]
+    assert [r["source_file"] for r in problems] == ["product.yaml"]
+    for args, part in ((["impact", saved, "glue://s/t"], "glue://m/t"), (["describe", saved], "glue://m/t#a"), (["export", saved, "catalog"], "glue://m/t"), (["export", saved, "events"], "COMPLETE"), (["products", saved], "drift"), (["references", saved], "[]"), (["scan", saved], "glue://m/t")):
+        assert main(args) == 0
+        assert part in capsys.readouterr().out
+    assert main(["scan", saved, "--strict"]) == 1
+
+
+def test_look_ups_by_ending(spark):
+    texts = dict.fromkeys(["a/x.sql", "b/x.sql", "b/y.sql", "lib/m.py", "z.zip!/lib/n/__init__.py", "b/m.py", "main.py"], "")
+    c = api.Context(spark, lambda _: None, {}, None, "athena", texts)
+    assert c.script("/home/b/x.sql") == "b/x.sql" and c.script("x.sql") is None and c.script("./y.sql") == "b/y.sql" and c.script("q.sql") is None
+    find = c.module("main.py")
+    assert find("lib.n", 0)[1] == "z.zip!/lib/n/__init__.py" and find("m", 0) is None and c.module("lib/q.py")("m", 0)[1] == "lib/m.py" and find("main", 0) is None
+    assert c.module("b/q.py")("m", 1)[1] == "b/m.py"
