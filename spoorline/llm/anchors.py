@@ -8,7 +8,7 @@ from spoorline.llm import textcore as tc
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the k bytes from each place."""
+    """The hash of the k bytes (or numbers) from each place."""
     c, down = tc.prefix_hashes(data)
     return tc.mix((c[k:] - c[:-k]) * down[: len(data) - k + 1])
 
@@ -24,8 +24,8 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text of at least window bytes: runs of windows that share their anchor, the first
-    place of the least hash of k bytes within the window.
+    """For a text of at least window bytes or numbers: runs of windows that share their anchor, the
+    first place of the least hash of k of them within the window.
 
     Returns anchor places, their hashes, and the first and last window start of each run.
     """

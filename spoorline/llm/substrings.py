@@ -1,4 +1,4 @@
-"""Exact removal of long repeated substrings by sorting suffixes.
+"""Exact removal of long repeated substrings by sorting suffixes, and passages that documents share.
 
 Every byte goes that is covered by a string of 400 bytes that also starts anywhere else. Sorting
 all suffixes of the corpus would move each text hundreds of times, so the order is built on tokens:
@@ -15,16 +15,22 @@ all suffixes of the corpus would move each text hundreds of times, so the order
    are range-partitioned by all tokens and, as the last, by text. Such a bucket's border can fall
    between equal windows, so the first and last windows of neighbouring buckets are compared.
 
-Equality of 100-byte strings is that of 64-bit hashes. Texts are UTF-8 bytes; matches never cross
-texts. Null text is empty; texts under 400 bytes keep everything unless empty of course. Rows that
-repeat a text count as occurrences each; rows that repeat an id are rows of their own. Empty
-input: no rows. Other columns of the input aren't read.
+The same order over words in place of bytes finds passages: strings of 51 words that another
+document has too. They are counted only (n_passage_words), for a passage of some fifty words is
+shorter than 400 bytes in most languages, and what is removed is judged by bytes.
+
+Equality of 100-byte strings (17 words) is that of 64-bit hashes. Texts are UTF-8 bytes; matches
+never cross texts. Null text is empty; texts under 400 bytes keep everything. Rows that repeat a
+text count as occurrences each, but cost one text in each batch that holds them; rows that repeat
+an id are rows (and documents) of their own. Empty input: no rows. Other columns of the input
+aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,64 +43,109 @@ from spoorline.llm.anchors import anchors
 from spoorline.llm.common import discard, partitions, written
 
 LENGTH, GRAM = 400, 100
+#: Words of a passage, and of its tokens.
+PASSAGE, PHRASE = 51, 17
 #: Different runs of one leading token that a single task takes.
 HOT = 2000
-_TOKENS = LENGTH // GRAM
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, t) -> the runs of windows: h (anchor's hash), ch (content), t, a, s0, s1."""
-    for batch in batches:
-        ids = np.asarray(batch.column(1), np.int64)
-        for lo, _, data, bounds in tc.slabs(batch.column(0)):
-            parts = []
-            for i in np.flatnonzero(np.diff(bounds) >= LENGTH).tolist():
-                x = data[bounds[i] : bounds[i + 1]]
-                a, h, s0, s1 = anchors(x, LENGTH, GRAM)
-                c, down = tc.prefix_hashes(x)
-                end = s1 + LENGTH
-                ch = tc.mix((c[end] - c[s0]) * down[s0] + (end - s0).astype(np.uint64))
-                parts.append((h.view(np.int64), ch.view(np.int64), np.full(len(a), ids[lo + i]), a, s0, s1))
-            if parts:
-                cols = [np.concatenate(x) for x in zip(*parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:3]] + [pa.array(x.astype(np.int32)) for x in cols[3:]], names=["h", "ch", "t", "a", "s0", "s1"])
+class Kind(NamedTuple):
+    """What strings are made of: their length and that of their tokens; across: only those count
+    that another text has."""
+
+    length: int
+    gram: int
+    words: bool = False
+    across: bool = False
+
+    def units(self, raw: np.ndarray) -> np.ndarray:
+        return tc.word_numbers(raw) if self.words else raw
+
+    def read(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.uint64 if self.words else np.uint8)
+
+    @property
+    def columns(self) -> list[str]:
+        return ["h", "d", *(f"g{k}" for k in range(self.length // self.gram))]
+
+
+def byte_kind() -> Kind:
+    return Kind(LENGTH, GRAM)
+
+
+def word_kind() -> Kind:
+    return Kind(PASSAGE, PHRASE, words=True, across=True)
+
+
+def _runs(kind: Kind):
+    """(text, t) -> the runs of windows of each batch's texts: h (anchor's hash), ch (content), t,
+    a, s0, s1, n (copies of the text in the batch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.asarray(batch.column(1), np.int64)
+            ids, first, times = np.unique(every, return_index=True, return_counts=True)
+            where = np.sort(first)
+            number = times[np.searchsorted(ids, every[where])]
+            for lo, _, data, bounds in tc.slabs(batch.column(0).take(pa.array(where)), 4 << 20):
+                parts = []
+                for i in np.flatnonzero(np.diff(bounds) >= kind.length).tolist():
+                    x = kind.units(data[bounds[i] : bounds[i + 1]])
+                    if len(x) < kind.length:
+                        continue
+                    a, h, s0, s1 = anchors(x, kind.length, kind.gram)
+                    c, down = tc.prefix_hashes(x)
+                    end = s1 + kind.length
+                    ch = tc.mix((c[end] - c[s0]) * down[s0] + (end - s0).astype(np.uint64))
+                    t, n = every[where[lo + i]], number[lo + i]
+                    parts.append((h.view(np.int64), ch.view(np.int64), np.full(len(a), t), np.full(len(a), n), a, s0, s1))
+                if parts:
+                    cols = [np.concatenate(x) for x in zip(*parts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:4]] + [pa.array(x.astype(np.int32)) for x in cols[4:]], names=["h", "ch", "t", "n", "a", "s0", "s1"])
+
+    return run
 
 
 CUT = "h long, v long, alone boolean, t long, a int, s0 int, bytes binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, text, runs) -> the bytes of each run; a counts from the run's start."""
-    for batch in batches:
-        for lo in range(0, len(batch), 64):
-            rows: list[tuple] = []
-            part = batch.slice(lo, 64)
-            for t, text, runs in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                raw = text.as_buffer()
-                for r in runs:
-                    rows.append((r["h"], r["v"], r["c"] == 1, t, r["a"] - r["s0"], r["s0"], raw[r["s0"] : r["s1"] + LENGTH].to_pybytes()))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["h", "v", "alone", "t", "a", "s0", "bytes"])
-
-
-def _windows(h: np.ndarray, a: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _cut(kind: Kind):
+    """(t, text, runs) -> the bytes (or words' numbers) of each run; a counts from the run's start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                rows: list[tuple] = []
+                part = batch.slice(lo, 64)
+                for t, text, runs in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
+                    x = kind.units(np.frombuffer(text.as_buffer(), np.uint8))
+                    for r in runs:
+                        rows.append((r["h"], r["v"], not r["many"], t, r["a"] - r["s0"], r["s0"], x[r["s0"] : r["s1"] + kind.length].tobytes()))
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["h", "v", "alone", "t", "a", "s0", "bytes"])
+
+    return run
+
+
+def _windows(kind: Kind, h: np.ndarray, a: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of runs: each window's run, its start there, and its tokens."""
-    size = np.array([len(x) for x in raw], np.int64)
+    units = kind.read(b"".join(raw))
+    size = np.array([len(x) for x in raw], np.int64) // units.itemsize
     base = np.concatenate(([0], np.cumsum(size)))
-    n = size - LENGTH + 1
+    n = size - kind.length + 1
     run = np.repeat(np.arange(len(raw)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    c, down = tc.prefix_hashes(np.frombuffer(b"".join(raw), np.uint8))
+    c, down = tc.prefix_hashes(units)
     at = base[run] + start
     grams = []
-    for k in range(_TOKENS):
-        x = at + k * GRAM
-        grams.append(tc.mix((c[x + GRAM] - c[x]) * down[x]))
+    for k in range(kind.length // kind.gram):
+        x = at + k * kind.gram
+        grams.append(tc.mix((c[x + kind.gram] - c[x]) * down[x]))
     return run, start, [h[run].view(np.uint64), (a[run] - start).astype(np.uint64), *grams]
 
 
-def multikey_ties(tokens: list[np.ndarray]) -> np.ndarray:
-    """Places of the token sequences that occur more than once.
+def multikey_ties(tokens: list[np.ndarray], owner: np.ndarray | None = None) -> np.ndarray:
+    """Places of the token sequences that occur more than once; with owners, for more than one owner.
 
     Sorts by the first token, then each stretch of ties by the next one; what stands alone leaves.
     """
@@ -109,53 +160,61 @@ def multikey_ties(tokens: list[np.ndarray]) -> np.ndarray:
         part = np.cumsum(new)
         tied = np.bincount(part)[part] > 1
         live, part = live[tied], part[tied]
+    if owner is not None and len(live):
+        cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        o = owner[live]
+        several = np.minimum.reduceat(o, cut) != np.maximum.reduceat(o, cut)
+        live = live[np.repeat(several, np.diff(np.append(cut, len(live))))]
     return live
 
 
-def _stretches(t: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    """Sorted windows (text, start) -> the stretches of bytes that they cover."""
+def _stretches(t: np.ndarray, s: np.ndarray, length: int) -> pa.RecordBatch:
+    """Sorted windows (text, start) -> the stretches that they cover."""
     new = np.ones(len(s), bool)
-    new[1:] = (t[1:] != t[:-1]) | (s[1:] > s[:-1] + LENGTH)
+    new[1:] = (t[1:] != t[:-1]) | (s[1:] > s[:-1] + length)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(s)) - 1
     last = last[: len(first)]
-    return pa.RecordBatch.from_arrays([pa.array(t[first]), pa.array(s[first].astype(np.int32)), pa.array((s[last] + LENGTH).astype(np.int32))], names=["t", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(t[first]), pa.array(s[first].astype(np.int32)), pa.array((s[last] + length).astype(np.int32))], names=["t", "lo", "hi"])
 
 
 SPAN = "t long, lo int, hi int"
 
 
-def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_bucket(kind: Kind):
     """Runs in the order of their leading tokens -> repeated stretches; equal tokens stay together."""
-    held: list[pa.RecordBatch] = []
 
     def solved(rows: pa.Table) -> pa.RecordBatch:
         h, a, t, s0 = (np.asarray(rows.column(k)).astype(np.int64) for k in ("h", "a", "t", "s0"))
         alone = np.asarray(rows.column("alone"))
-        run, start, tokens = _windows(h, a, rows.column("bytes").to_pylist())
-        hit = multikey_ties(tokens)
+        run, start, tokens = _windows(kind, h, a, rows.column("bytes").to_pylist())
+        hit = multikey_ties(tokens, t[run] if kind.across else None)
         hit = hit[alone[run[hit]]]
         text, place = t[run[hit]], s0[run[hit]] + start[hit]
         order = np.lexsort((place, text))
-        return _stretches(text[order], place[order])
-
-    for batch in batches:
-        held.append(batch)
-        rows = pa.Table.from_batches(held)
-        if len(rows) < 2 * HOT:
-            continue
-        h = np.asarray(rows.column("h"))
-        done = int(np.searchsorted(h, h[-1]))  # the last token may go on in the next batch
-        if done:
-            for lo in _token_cuts(h[:done]):
+        return _stretches(text[order], place[order], kind.length)
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            if len(rows) < 2 * HOT:
+                continue
+            h = np.asarray(rows.column("h"))
+            done = int(np.searchsorted(h, h[-1]))  # the last token may go on in the next batch
+            if done:
+                for lo in _token_cuts(h[:done]):
+                    yield solved(rows.slice(*lo))
+                held = rows.slice(done).to_batches()
+            else:
+                held = rows.to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            for lo in _token_cuts(np.asarray(rows.column("h"))):
                 yield solved(rows.slice(*lo))
-            held = rows.slice(done).to_batches()
-        else:
-            held = rows.to_batches()
-    if held:
-        rows = pa.Table.from_batches(held)
-        for lo in _token_cuts(np.asarray(rows.column("h"))):
-            yield solved(rows.slice(*lo))
+
+    return bucket
 
 
 def _token_cuts(h: np.ndarray, most: int = HOT) -> Iterator[tuple[int, int]]:
@@ -169,92 +228,110 @@ def _token_cuts(h: np.ndarray, most: int = HOT) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-TOKEN_COLUMNS = ["h", "d", *(f"g{k}" for k in range(_TOKENS))]
-HOT_ROW = ", ".join(f"{c} long" for c in TOKEN_COLUMNS) + ", t long, s int, alone boolean"
+def _hot_row(kind: Kind) -> str:
+    return ", ".join(f"{c} long" for c in kind.columns) + ", t long, s int, alone boolean"
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
-            h, a, t, s0 = (np.asarray(part.column(k)).astype(np.int64) for k in ("h", "a", "t", "s0"))
-            run, start, tokens = _windows(h, a, part.column("bytes").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in tokens), pa.array(t[run]), pa.array((s0[run] + start).astype(np.int32)), pa.array(np.asarray(part.column("alone"))[run])], names=[*TOKEN_COLUMNS, "t", "s", "alone"])
-
+def _hot_windows(kind: Kind):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                h, a, t, s0 = (np.asarray(part.column(k)).astype(np.int64) for k in ("h", "a", "t", "s0"))
+                of, start, tokens = _windows(kind, h, a, part.column("bytes").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in tokens), pa.array(t[of]), pa.array((s0[of] + start).astype(np.int32)), pa.array(np.asarray(part.column("alone"))[of])], names=[*kind.columns, "t", "s", "alone"])
 
-def _hot_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted windows of a bucket -> those that tie with a neighbour, and both borders of the bucket."""
-    names = [*TOKEN_COLUMNS, "t", "s", "alone", "place", "border"]
-    place = TaskContext.get().partitionId()
-    before: pa.RecordBatch | None = None  # the last row so far, and whether it tied
-    tied = False
-    ends = []
-    first = True
+    return run
 
-    def out(rows, border: int):
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array([place] * n, pa.int32()), pa.array([border] * n, pa.int32())], names=names)
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        key = np.stack([np.asarray(batch.column(c)) for c in TOKEN_COLUMNS])
-        same = (key[:, 1:] == key[:, :-1]).all(axis=0)
-        hit = np.zeros(len(batch), bool)
-        hit[1:] |= same
-        hit[:-1] |= same
-        if before is not None and all(before.column(c)[0].as_py() == batch.column(c)[0].as_py() for c in TOKEN_COLUMNS):
-            hit[0] = True
-            if not tied:
-                yield out(before, 0)
-        if first:
-            ends.append((batch.slice(0, 1), 1))
-            first = False
-        yield out(batch.filter(pa.array(hit)), 0)
-        before, tied = batch.slice(len(batch) - 1, 1), bool(hit[-1])
-    if before is not None:
-        ends.append((before, 2))
-    for row, border in ends:
-        yield out(row, border)
-
-
-def _hot_spans(runs: DataFrame) -> DataFrame:
+def _hot_bucket(kind: Kind):
+    """Sorted windows of a bucket -> those that tie with a neighbour, and both borders of the bucket."""
+    columns = kind.columns
+    names = [*columns, "t", "s", "alone", "place", "border"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
+        before: pa.RecordBatch | None = None  # the last row so far, and whether it tied
+        tied = False
+        ends = []
+        first = True
+
+        def out(rows, border: int):
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array([place] * n, pa.int32()), pa.array([border] * n, pa.int32())], names=names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = np.stack([np.asarray(batch.column(c)) for c in columns])
+            same = (key[:, 1:] == key[:, :-1]).all(axis=0)
+            hit = np.zeros(len(batch), bool)
+            hit[1:] |= same
+            hit[:-1] |= same
+            if before is not None and all(before.column(c)[0].as_py() == batch.column(c)[0].as_py() for c in columns):
+                hit[0] = True
+                if not tied:
+                    yield out(before, 0)
+            if first:
+                ends.append((batch.slice(0, 1), 1))
+                first = False
+            yield out(batch.filter(pa.array(hit)), 0)
+            before, tied = batch.slice(len(batch) - 1, 1), bool(hit[-1])
+        if before is not None:
+            ends.append((before, 2))
+        for row, border in ends:
+            yield out(row, border)
+
+    return run
+
+
+def _hot_spans(runs: DataFrame, kind: Kind) -> DataFrame:
     spark = runs.sparkSession
-    by = [*TOKEN_COLUMNS, "t", "s"]
-    rows = runs.select("h", "a", "t", "s0", "alone", "bytes").mapInArrow(_hot_windows, HOT_ROW)
+    columns, row = kind.columns, _hot_row(kind)
+    by = [*columns, "t", "s"]
+    rows = runs.select("h", "a", "t", "s0", "alone", "bytes").mapInArrow(_hot_windows(kind), row)
     dealt = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
-    met = written(dealt.mapInArrow(_hot_bucket, HOT_ROW + ", place int, border int"), "hot-windows")
+    met = written(dealt.mapInArrow(_hot_bucket(kind), row + ", place int, border int"), "hot-windows")
     ends = met.filter("border > 0").orderBy("place", "border").collect()  # two rows for each bucket
-    tie = [(r["t"], r["s"], r["alone"]) for x, y in zip(ends, ends[1:]) if x["place"] != y["place"] and all(x[c] == y[c] for c in TOKEN_COLUMNS) for r in (x, y)]
-    hits = met.filter("border = 0").select("t", "s", "alone").unionByName(spark.createDataFrame(tie, "t long, s int, alone boolean"))
-    return hits.filter("alone").distinct().select("t", F.col("s").alias("lo"), (F.col("s") + LENGTH).alias("hi"))
+    tie = [tuple(r[c] for c in [*by, "alone"]) for x, y in zip(ends, ends[1:]) if x["place"] != y["place"] and all(x[c] == y[c] for c in columns) for r in (x, y)]
+    hits = met.filter("border = 0").select(*by, "alone").unionByName(spark.createDataFrame(tie, row))
+    if kind.across:
+        several = hits.groupBy(*columns).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select(*columns)
+        hits = hits.join(several, columns)
+    return hits.filter("alone").select("t", "s").distinct().select("t", F.col("s").alias("lo"), (F.col("s") + kind.length).alias("hi"))
+
 
+def repeated_spans(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
+    """(text) -> t (xxhash64 of a text), spans: stretches lo, hi to remove (or of passages), for texts that have any.
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(text) -> t (xxhash64 of a text), spans: stretches lo, hi of bytes to remove, for texts that have any."""
+    Copies of a whole text count as repeats by bytes; with kind.across only other texts' do.
+    """
+    kind = kind or byte_kind()
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("t"))
-    runs = written(texts.mapInArrow(_runs, "h long, ch long, t long, a int, s0 int, s1 int"), "suffix-runs")
+    runs = written(texts.mapInArrow(_runs(kind), "h long, ch long, t long, n long, a int, s0 int, s1 int"), "suffix-runs")
     # Within tasks equal runs are counted first, so a very common one is a row for each task.
-    kinds = runs.groupBy("h", "ch").agg(F.count("*").alias("c"), F.min(F.struct("t", "s0")).alias("one"))
-    tokens = kinds.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("v")).filter("n > 1")
-    kept = written(kinds.join(tokens.select("h", "v"), "h"), "suffix-kinds")
-    seen = runs.join(kept, ["h", "ch"])
+    kinds = runs.groupBy("h", "ch").agg(F.sum("n").alias("c"), F.min(F.struct("t", "s0")).alias("one"), F.min("t").alias("low"), F.max("t").alias("high"))
+    many = (F.col("low") != F.col("high")) if kind.across else (F.col("c") > 1)
+    tokens = kinds.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.min("low").alias("low"), F.max("high").alias("high"))
+    tokens = tokens.filter("low != high" if kind.across else "n > 1").select("h", "v")
+    kept = written(kinds.select("h", "ch", "one", many.alias("many")).join(tokens, "h"), "suffix-kinds")
+    seen = runs.drop("n").join(kept, ["h", "ch"])
     # Of runs found twice all are covered; one stands for them where others share their token.
-    whole = seen.filter("c > 1").select("t", F.col("s0").alias("lo"), (F.col("s1") + LENGTH).alias("hi"))
-    asked = seen.filter("v > 1 AND (c = 1 OR (t = one.t AND s0 = one.s0))")
-    lists = asked.groupBy("t").agg(F.collect_set(F.struct("h", "v", "c", "a", "s0", "s1")).alias("runs"))
+    whole = seen.filter("many").select("t", F.col("s0").alias("lo"), (F.col("s1") + kind.length).alias("hi"))
+    asked = seen.filter("v > 1 AND (NOT many OR (t = one.t AND s0 = one.s0))")
+    lists = asked.groupBy("t").agg(F.collect_set(F.struct("h", "v", "many", "a", "s0", "s1")).alias("runs"))
     once = texts.join(lists.select("t").hint("shuffle_hash"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    cut = written(once.join(lists, "t").select("t", "text", "runs").mapInArrow(_cut, CUT), "suffix-bytes")
+    cut = written(once.join(lists, "t").select("t", "text", "runs").mapInArrow(_cut(kind), CUT), "suffix-bytes")
     few = cut.filter(F.col("v") <= HOT)
     dealt = few.repartitionByRange(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
-    spans = whole.unionByName(dealt.mapInArrow(_sorted_bucket, SPAN)).unionByName(_hot_spans(cut.filter(F.col("v") > HOT)))
+    spans = whole.unionByName(dealt.mapInArrow(_sorted_bucket(kind), SPAN)).unionByName(_hot_spans(cut.filter(F.col("v") > HOT), kind))
     found = written(spans.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
     discard(runs, kept, cut)
     return found
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -269,9 +346,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, spans, passages, copied) -> RESULT."""
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for doc_id, text, spans, passages, copied in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4))):
             raw = text.as_buffer().to_pybytes()
             gone = merged(spans or [])
             at, sha = 0, hashlib.sha256()
@@ -279,15 +357,29 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha.update(raw[at:lo])
                 at = hi
             sha.update(raw[at:])
-            rows.append((doc_id, len(raw), sum(b - a for a, b in gone), len(gone), sha.hexdigest()))
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
+            if copied:  # another document has the whole text
+                n = len(tc.word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+                shared = n if n >= PASSAGE else 0
+            else:
+                shared = sum(b - a for a, b in merged(passages or []))
+            rows.append((doc_id, len(raw), sum(b - a for a, b in gone), len(gone), sha.hexdigest(), shared))
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> RESULT for each row."""
+    """(doc_id, text) -> RESULT for each row; n_passage_words: its words within strings of PASSAGE
+    words that another document has too."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
-    spans = repeated_spans(docs)
-    out = rows.join(spans.hint("shuffle_hash"), "t", "left")
-    return out.select("doc_id", "text", "spans").mapInArrow(_kept, RESULT)
+    none = F.lit(None)
+    spans, passages = repeated_spans(docs), repeated_spans(docs, word_kind())
+    kind = spans.schema["spans"].dataType
+    copied = rows.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
+    each = spans.select("t", "spans", none.cast(kind).alias("passages"), none.cast("boolean").alias("copied"))
+    each = each.unionByName(passages.select("t", none.cast(kind).alias("spans"), F.col("spans").alias("passages"), none.cast("boolean").alias("copied")))
+    each = each.unionByName(copied.select("t", none.cast(kind).alias("spans"), none.cast(kind).alias("passages"), F.lit(True).alias("copied")))
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)
+    found = each.groupBy("t").agg(one("spans"), one("passages"), one("copied"))
+    out = rows.join(found.hint("shuffle_hash"), "t", "left")
+    return out.select("doc_id", "text", "spans", "passages", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_kept, RESULT)

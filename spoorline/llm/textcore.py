@@ -41,13 +41,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums from which the hash of any range of data follows, and the powers to align it."""
+    """Sums from which the hash of any range of bytes or 64-bit numbers follows, and the powers to align it."""
     up, down = powers(len(data) + 1)
     c = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE[data] * up[: len(data)], out=c[1:])
+    np.cumsum((BYTE[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=c[1:])
     return c, down
 
 
+def word_numbers(data: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each word of a text, the same for the same word."""
+    starts, ends = word_bounds(data, np.array([0, len(data)]))
+    c, down = prefix_hashes(data)
+    return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
 def slabs(column: pa.Array, size: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of whole texts of about size bytes.
 

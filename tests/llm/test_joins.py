@@ -150,15 +150,18 @@ def test_components(spark):
 
 def plain_substrings(rows):
     raw = [(r[1] or "").encode() for r in rows]
+    words = [WORD.findall(r[1] or "") for r in rows]
     seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    holders = Counter(s for w in words for s in {tuple(w[i : i + 51]) for i in range(len(w) - 50)})
     out = []
-    for r, b in zip(rows, raw):
+    for r, b, w in zip(rows, raw, words):
         gone = np.zeros(len(b) + 2, bool)
         for i in range(len(b) - 399):
             if seen[b[i : i + 400]] > 1:
                 gone[i + 1 : i + 401] = True
         keep = bytes(x for x, g in zip(b, gone[1:]) if not g)
-        out.append((r[0], len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(keep).hexdigest()))
+        shared = {i + k for i in range(len(w) - 50) if holders[tuple(w[i : i + 51])] > 1 for k in range(51)}
+        out.append((r[0], len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(keep).hexdigest(), len(shared)))
     return Counter(out)
 
 
@@ -166,13 +169,17 @@ def plain_substrings(rows):
 def test_repeated_substrings(docs, rows, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
     got = Counter(tuple(r) for r in substrings.without_repeats(docs).collect())
-    assert got == plain_substrings(rows) and any(x[2] for x in got)
+    assert got == plain_substrings(rows) and any(x[2] for x in got) and any(x[5] for x in got)
 
 
-def test_repeats_within_one_text_overlap(spark):
-    rows = [(1, "ab" * 300), (2, "xyz" * 100), (3, "q" * 399)]
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeats_within_one_text_overlap(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    short = " ".join(f"w{k}" for k in range(54))
+    rows = [(1, "ab" * 300), (2, "xyz" * 100), (3, "q" * 399), (4, "so " * 200), (5, "one two three " * 40), (6, f"{short} and {short} more"), (7, f"x {short} y"), (8, f"{short}  y"), (9, "na " * 60 + "once"), (10, "na\n" * 55)]
     got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(map(tuple, got)) == plain_substrings(rows)
+    assert {r["doc_id"] for r in got if r["n_passage_words"]} == {6, 7, 8, 9, 10}
 
 
 def test_no_substrings_of_nothing(empty):
