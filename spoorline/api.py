@@ -16,6 +16,7 @@ from spoorline.functions import cron, identity
 from spoorline.operators import exports, graph, impact, policy, products
 from spoorline.plans import airflow
 from spoorline.plans.frames import Interpreter
+from spoorline.plans.references import Inspector
 from spoorline.plans.sqlfront import Analysis, Result
 from spoorline.schemas import SCHEMAS
 from spoorline.sources import catalogs, repo
@@ -166,16 +167,15 @@ class PythonReader(Reader):
         return path.endswith(".py") and not airflow.imports_airflow(text)
 
     def read(self, path: str, text: str, context: Context) -> Rows:
-        return self.job(path, text, context, job_id_of(path))
+        found = Inspector(path, job_id_of(path), context.bindings).read(text)
+        return self.job(path, text, context, job_id_of(path)) | {"references": found.references}
 
     def job(self, path: str, text: str, context: Context, job: str) -> Rows:
         i = Interpreter(context.spark, text, job, path, context.schema, context.bindings, context.default_db, context.sql_engine, context.module(path))
         result = i.run()
-        rows = rows_of(result, job, path, "python", i.engine, text)
-        rows["references"] = i.references
         if not result.inputs and not result.outputs and not result.unresolved:
-            rows = {"references": i.references}  # a module of helpers is no job
-        return rows
+            return {}  # a module of helpers is no job
+        return rows_of(result, job, path, "python", i.engine, text)
 
 
 class AirflowReader(Reader):
@@ -186,8 +186,9 @@ class AirflowReader(Reader):
 
     def read(self, path: str, text: str, context: Context) -> Rows:
         o = airflow.read(text, path, context.bindings)
+        calls = Inspector(path, "", context.bindings).read(text).references
         has_upstream = {b for _, b in o.edges}
-        out: Rows = {"schedules": o.schedules, "unresolved": o.unresolved, "task_edges": [{"src": a, "dst": b} for a, b in o.edges]}
+        out: Rows = {"schedules": o.schedules, "unresolved": o.unresolved, "references": calls, "task_edges": [{"src": a, "dst": b} for a, b in o.edges]}
         out["tasks"] = [{"task": t.name, "dag_id": t.dag_id, "task_id": t.task_id, "is_root": t.name not in has_upstream, "source_file": path} for t in o.tasks]
         out["external_refs"] = [{"task": t.name, "kind": t.external[0], "dag_id": t.external[1], "task_id": t.external[2]} for t in o.tasks if t.external]
         jobs: list[Rows] = []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spoorline.functions import cron, identity, text
 from spoorline.operators import exports, graph, impact, observability, policy, products
 from spoorline.plans import bridges as B
-from spoorline.plans import corpus_queries
+from spoorline.plans import case_queries, corpus_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -381,7 +381,7 @@ def job_products(spark, d):
     return graph.job_products(io, owners, jobs, folders)
 
 
-for _name, (_f, _sql) in corpus_queries.ENTRIES.items():
+for _name, (_f, _sql) in (corpus_queries.ENTRIES | case_queries.ENTRIES).items():
     QUERIES[_name] = _f
     if _sql:
         ORACLES[_name] = _sql
