@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoorline.llm.common import fresh_path
+from spoorline.llm.common import discard, fresh_path, written
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "token")
 BASE = KINDS[:3]
@@ -40,6 +40,8 @@ _jwt = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,
 _token = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
 
 Spans = list[tuple[str, int, int]]
+#: Copies of a blob beyond which its text is taken from a chosen row.
+HOT = 64
 
 
 def spans_v1(text: str) -> Spans:
@@ -111,13 +113,21 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: str = "secrets-
     Without a path the ledger is a new one in the shared folder.
     """
     spark = docs.sparkSession
+    old = ledger_path is not None
     ledger_path = ledger_path or fresh_path(spark, "secret-ledger")
     text = F.coalesce("text", F.lit(""))
     versions = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("blob"))
     seen = read_ledger(spark, ledger_path).filter(F.col("rules") == rules).select("blob").distinct()
-    # One copy of each content crosses the network; copies within a task meet there first.
-    unseen = versions.select("blob", "text").join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-    unseen.mapInArrow(_scanner(rules), LEDGER).write.mode("append").parquet(ledger_path)
+    unseen = lambda rows: rows.join(seen, "blob", "left_anti") if old else rows
+    # A blob of many copies is fetched from one row, chosen by its name alone: its copies move no text.
+    hot = versions.groupBy("blob").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).filter(F.col("n") > HOT)
+    hot = written(hot.select(F.col("blob").alias("hot"), "id"), "secret-hot")
+    # Of the others one copy of each content crosses the network; copies within a task meet there first.
+    few = unseen(versions.join(hot, F.col("blob") == F.col("hot"), "left_anti").select("blob", "text"))
+    one = unseen(versions.join(hot, (F.col("blob") == F.col("hot")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("blob", "text"))
+    first = lambda rows: rows.groupBy("blob").agg(F.first("text").alias("text"))
+    first(few).unionByName(first(one)).mapInArrow(_scanner(rules), LEDGER).write.mode("append").parquet(ledger_path)
+    discard(hot)
     found = read_ledger(spark, ledger_path).filter((F.col("rules") == rules) & (F.size("spans") > 0))
     found = found.groupBy("blob").agg(F.first("spans").alias("spans"))  # a rerun after a failure may have written a blob twice
     none = F.array().cast(T.ArrayType(SPAN))
@@ -142,24 +152,25 @@ MASK = "[secret]"
 def redact(docs: DataFrame, ledger_path: str | None = None, rules: str = "secrets-2") -> DataFrame:
     """Replaces every secret of the texts by [secret], overlapping ones by a single one.
 
-    Keeps all rows and columns; n_chars, where there is one, follows the text.
+    Keeps all rows and columns, whatever their names; n_chars, where there is one, follows the text.
     """
-    found = scan(docs, ledger_path, rules).filter(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
-    df = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, F.col("_sha") == F.col("_blob"), "left")
+    found = scan(docs, ledger_path, rules).filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    # Written, so that Spark knows its size: a small list is broadcast and no text moves.
+    found = written(found, "secret-blobs")
+    text, spans = F.col("row.text"), F.col("spans")
+    df = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).join(found, F.col("sha") == F.col("blob"), "left")
     gap = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(a: Column, s: Column) -> Column:
-        head = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(MASK))).otherwise(a["out"])
+        head = F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(MASK))).otherwise(a["out"])
         return F.struct(head.alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
-    rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length("text")))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", gap, step, rest))
-    df = df.withColumn("text", clean)
+    rest = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text)))
+    clean = F.when(spans.isNull(), text).otherwise(F.aggregate(spans, gap, step, rest))
+    new = {"text": clean}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return df.select(*docs.columns)
-
-
+        new["n_chars"] = F.when(spans.isNull(), F.col("row.n_chars")).otherwise(F.char_length(clean).cast("long"))
+    return df.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: The same rows of the query over documents, for an independent engine.
