@@ -5,23 +5,26 @@ merges of a text end in piece t after piece s exactly if s+t alone merges to (s,
 pieces that can end at a place just one path survives, found from back pointers at most one piece
 length away. The search keeps a window of that length. Whenever all paths in the window pass
 through one boundary, the ids before it are committed and leave memory; no later text can change
-them. A text without spaces is encoded in the same bounded memory.
+them. Every text goes through this stream, with or without spaces, in the same bounded memory.
 
 No piece has a space after another character, so the paths always meet before a space that follows
-another character; a bounded memory of finished stretches between such boundaries skips the search
-for stretches seen before. Characters without a piece become their UTF-8 bytes' pieces.
+another character, and the stream commits there; a bounded memory of finished words between such
+boundaries skips the search for words seen before. Characters without a piece become
+their UTF-8 bytes' pieces.
 
 Null text: null ids. Empty text: no ids. The model's normalisation is the identity with a space
 put before the text; decoding takes it away, so a text comes back as it was, apart from U+2581,
-which the model can't tell from a space. Rows are independent; ids of rows may repeat.
+which the model can't tell from a space: round_trip is false for such a text. Rows are independent;
+ids of rows may repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Stretches remembered by a worker, and their longest length.
-REMEMBERED, STRETCH = 250_000, 64
+#: Words remembered by a worker, their longest length, and how many the stream commits at a time.
+REMEMBERED, STRETCH, COMMITTED = 250_000, 64, 4096
+_spaced = re.compile(" *[^ ]+| +")
 PAIRS = 1_000_000
 
 
@@ -126,14 +130,16 @@ class Pieces:
 
     def short(self, text: str) -> list[str]:
         """The pieces of a text that fits the window: one path leads to its end."""
-        fits, last = self.fits, {0: ""}
-        for end, p in self.ends(text):
-            if end not in last:
-                before = last.get(end - len(p))
+        fits = self.fits
+        last: list[str | None] = [None] * (len(text) + 1)
+        last[0] = ""
+        for i, p in self.found.iter(text) if self.alone.issuperset(text) else ((end - 1, p) for end, p in self.ends(text)):
+            if last[i + 1] is None:
+                before = last[i + 1 - len(p)]
                 if before is not None:
                     ok = fits.get((before, p))
                     if ok or ok is None and self.follows(before, p):
-                        last[end] = p
+                        last[i + 1] = p
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -141,26 +147,29 @@ class Pieces:
         out.reverse()
         return out
 
-    def stream(self, text: str) -> Iterator[str]:
-        """The pieces of a text, committed as soon as they are certain.
+    def search(self, text: str) -> Iterator[str]:
+        """The pieces of a stretch, committed as soon as they are certain.
 
-        last holds the window: for each place the piece that ends there on the one path to it.
+        last holds the window: for each place the piece that ends there on the one path to it. Once
+        it is longer than the longest piece, it is looked at every few places for a boundary that
+        all paths share.
         """
         size, fits = self.longest, self.fits
-        if len(text) <= 4 * size:
+        if len(text) <= size:
             yield from self.short(text)
             return
         done, last = 0, {0: ""}
-        now = 0
+        now, look = 0, size
         for end, p in self.ends(text):
             if end != now:
                 now = end
-                if end - done >= 4 * size:
+                if end > look:
                     upto = self._met(last, done, end - 1)
-                    yield from self._path(last, done, upto)
                     if upto > done:
+                        yield from self._path(last, done, upto)
                         done = upto
                         last = {k: v for k, v in last.items() if k >= upto}
+                    look = max(done + size, end + 3)
             if end not in last:
                 before = last.get(end - len(p))
                 if before is not None:
@@ -197,7 +206,12 @@ class Pieces:
         x = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return x
 
-    def ids_of(self, pieces: Iterator[str]) -> array:
+    def ids_of(self, pieces: Iterable[str]) -> array:
+        if isinstance(pieces, list):
+            try:
+                return array("i", [self.id[p] for p in pieces])
+            except KeyError:  # a character without a piece
+                pass
         out = array("i")
         for p in pieces:
             if (i := self.id.get(p)) is not None:
@@ -206,32 +220,41 @@ class Pieces:
                 out.extend([self.byte[b] for b in p.encode()] if self.byte[0] != self.unknown else [self.unknown])
         return out
 
-    def stretch(self, s: str) -> bytes:
-        """Ids of a stretch that begins and ends at certain boundaries, as 4-byte numbers."""
-        ids = self.older.get(s) or self.ids_of(self.stream(s)).tobytes()
-        if len(s) <= STRETCH:
+    def word(self, w: str) -> bytes:
+        """Ids of a word with the space before it, as 4-byte numbers; its ends are certain boundaries."""
+        ids = self.known.get(w) or self.older.get(w)
+        if ids is None:
+            text = SPACE + w.replace(" ", SPACE)
+            ids = self.ids_of(self.short(text) if len(text) <= self.longest else self.search(text)).tobytes()
+        if len(w) <= STRETCH:
             if len(self.known) >= REMEMBERED:
                 self.older = self.known
                 self.known = {}
-            self.known[s] = ids
+            self.known[w] = ids
         return ids
 
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The ids of a text from left to right, COMMITTED words at a time: a word's end is a certain boundary.
+
+        Spaces in a row belong to the word behind them.
+        """
+        text = text.replace(SPACE, " ")
+        words = text.split(" ")
+        if "" in words:
+            words = [w[1:] for w in _spaced.findall(" " + text)]
+        for lo in range(0, len(words), COMMITTED):
+            part = words[lo : lo + COMMITTED]
+            found = list(map(self.known.get, part))
+            if None in found:
+                found = [x or self.word(w) for w, x in zip(part, found)]
+            yield b"".join(found)
+
     def encode(self, text: str) -> array:
         """The ids of a text."""
         out = array("i")
-        if not text:
-            return out
-        stretch, parts, held = self.stretch, [], ""
-        for w in text.replace(SPACE, " ").split(" "):
-            if w:
-                s = held + SPACE + w
-                parts.append(self.known.get(s) or stretch(s))
-                held = ""
-            else:
-                held += SPACE
-        if held:
-            parts.append(stretch(held))
-        out.frombytes(b"".join(parts))
+        if text:
+            for part in self.stream(text):
+                out.frombytes(part)
         return out
 
     def decode(self, ids) -> str:
@@ -276,7 +299,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
                         rows.append((None, None, None, None))
                         continue
                     x = m.encode(t)
-                    rows.append((len(x), hashlib.sha256(x.tobytes()).hexdigest(), m.decode(x) == t.replace(SPACE, " "), x))
+                    rows.append((len(x), hashlib.sha256(x.tobytes()).hexdigest(), m.decode(x) == t, x))
                 n, sha, back, x = zip(*rows)
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.bool_())]
                 if ids:
