@@ -23,26 +23,27 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text of at least window bytes or numbers: runs of windows that share their anchor, the
-    first place of the least hash of k of them within the window.
+def anchors(units: np.ndarray, window: int, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts laid end to end: runs of windows that share their anchor, the first place of the
+    least hash of k bytes or numbers within the window. Windows across the texts' bounds don't count.
 
-    Returns anchor places, their hashes, and the first and last window start of each run.
+    Hashes are compared by their upper bits; the lower ones hold the place, so that the first of
+    equals wins. Returns anchor places, their hashes, and the first and last window start of each run.
     """
-    h = gram_hashes(data, k)
-    low = window_minima(h, window - k + 1)
-    starts = np.arange(len(low))
-    # The first place at or after a window's start that has the window's least hash.
-    new = np.ones(len(low), bool)
-    new[1:] = low[1:] != low[:-1]
-    where = np.empty(len(low), np.int64)
-    first = np.flatnonzero(new)
-    # Within a run of equal minima the place can move on where the least hash occurs again.
-    for a, b in zip(first.tolist(), np.append(first[1:], len(low)).tolist()):
-        span = np.flatnonzero(h[a : b + window - k] == low[a]) + a
-        where[a:b] = span[0] if len(span) == 1 else span[np.searchsorted(span, starts[a:b])]
-    cut = np.ones(len(low), bool)
-    cut[1:] = where[1:] != where[:-1]
-    s0 = np.flatnonzero(cut)
-    s1 = np.append(s0[1:], len(low)) - 1
-    return where[s0], low[s0], s0, s1
+    none = np.zeros(0, np.int64)
+    if len(units) < window:
+        return none, none.view(np.uint64), none, none
+    h = gram_hashes(units, k)
+    mask = np.uint64((1 << max(len(h).bit_length(), 1)) - 1)
+    low = window_minima((h & ~mask) | np.arange(len(h), dtype=np.uint64), window - k + 1)
+    where = (low & mask).astype(np.int64)
+    starts = np.arange(len(where))
+    if bounds is not None:
+        end = bounds[np.searchsorted(bounds, starts, "right")]
+        starts = starts[starts + window <= end]
+        where = where[starts]
+    cut = np.ones(len(starts), bool)
+    cut[1:] = (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1)
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(starts))[: len(first)] - 1
+    return where[first], h[where[first]], starts[first], starts[last]

@@ -506,7 +506,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = PERCENT) -
     is_it = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own"))
     gone = met.filter(~is_it).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text"))
     again = met.filter(is_it & (F.col("c") > 1)).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text"))
-    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), text_mark().alias("_mark"))
+    named = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), text_mark().alias("_mark"))
     at = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_mark") == F.col("_text"))
     some = not again.isEmpty()
     left = named.join((gone.unionByName(again) if some else gone).hint("shuffle_hash"), at, "left_anti")

@@ -43,23 +43,25 @@ from spoorline.llm.anchors import anchors
 from spoorline.llm.common import discard, partitions, written
 
 LENGTH, GRAM = 400, 100
-#: Words of a passage, and of its tokens.
-PASSAGE, PHRASE = 51, 17
+#: Words of a passage, of its tokens, and of its anchors.
+PASSAGE, PHRASE, ANCHOR = 51, 17, 8
 #: Different runs of one leading token that a single task takes.
 HOT = 2000
 
 
 class Kind(NamedTuple):
-    """What strings are made of: their length and that of their tokens; across: only those count
-    that another text has."""
+    """What strings are made of: their length, that of their tokens and of their anchors; across:
+    only those count that another text has."""
 
     length: int
     gram: int
+    anchor: int
     words: bool = False
     across: bool = False
 
-    def units(self, raw: np.ndarray) -> np.ndarray:
-        return tc.word_numbers(raw) if self.words else raw
+    def units(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of texts laid end to end, and the texts' bounds among them."""
+        return tc.word_numbers(raw, bounds) if self.words else (raw, bounds)
 
     def read(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, np.uint64 if self.words else np.uint8)
@@ -70,11 +72,11 @@ class Kind(NamedTuple):
 
 
 def byte_kind() -> Kind:
-    return Kind(LENGTH, GRAM)
+    return Kind(LENGTH, GRAM, GRAM)
 
 
 def word_kind() -> Kind:
-    return Kind(PASSAGE, PHRASE, words=True, across=True)
+    return Kind(PASSAGE, PHRASE, ANCHOR, words=True, across=True)
 
 
 def _runs(kind: Kind):
@@ -87,21 +89,18 @@ def _runs(kind: Kind):
             ids, first, times = np.unique(every, return_index=True, return_counts=True)
             where = np.sort(first)
             number = times[np.searchsorted(ids, every[where])]
-            for lo, _, data, bounds in tc.slabs(batch.column(0).take(pa.array(where)), 4 << 20):
-                parts = []
-                for i in np.flatnonzero(np.diff(bounds) >= kind.length).tolist():
-                    x = kind.units(data[bounds[i] : bounds[i + 1]])
-                    if len(x) < kind.length:
-                        continue
-                    a, h, s0, s1 = anchors(x, kind.length, kind.gram)
-                    c, down = tc.prefix_hashes(x)
-                    end = s1 + kind.length
-                    ch = tc.mix((c[end] - c[s0]) * down[s0] + (end - s0).astype(np.uint64))
-                    t, n = every[where[lo + i]], number[lo + i]
-                    parts.append((h.view(np.int64), ch.view(np.int64), np.full(len(a), t), np.full(len(a), n), a, s0, s1))
-                if parts:
-                    cols = [np.concatenate(x) for x in zip(*parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols[:4]] + [pa.array(x.astype(np.int32)) for x in cols[4:]], names=["h", "ch", "t", "n", "a", "s0", "s1"])
+            for lo, _, data, bounds in tc.slabs(batch.column(0).take(pa.array(where))):
+                x, at = kind.units(data, bounds)
+                a, h, s0, s1 = anchors(x, kind.length, kind.anchor, at)
+                if not len(a):
+                    continue
+                c, down = tc.prefix_hashes(x)
+                end = s1 + kind.length
+                ch = tc.mix((c[end] - c[s0]) * down[s0] + (end - s0).astype(np.uint64))
+                of = np.searchsorted(at, s0, "right") - 1
+                base, doc = at[of], where[lo + of]
+                cols = [h.view(np.int64), ch.view(np.int64), every[doc], number[lo + of], *((p - base).astype(np.int32) for p in (a, s0, s1))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "ch", "t", "n", "a", "s0", "s1"])
 
     return run
 
@@ -118,7 +117,8 @@ def _cut(kind: Kind):
                 rows: list[tuple] = []
                 part = batch.slice(lo, 64)
                 for t, text, runs in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                    x = kind.units(np.frombuffer(text.as_buffer(), np.uint8))
+                    raw = np.frombuffer(text.as_buffer(), np.uint8)
+                    x, _ = kind.units(raw, np.array([0, len(raw)]))
                     for r in runs:
                         rows.append((r["h"], r["v"], not r["many"], t, r["a"] - r["s0"], r["s0"], x[r["s0"] : r["s1"] + kind.length].tobytes()))
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -310,13 +310,15 @@ def repeated_spans(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("t"))
     runs = written(texts.mapInArrow(_runs(kind), "h long, ch long, t long, n long, a int, s0 int, s1 int"), "suffix-runs")
+    # Most leading tokens are found once; what is left of the runs after them is small.
+    tokens = runs.groupBy("h").agg(F.sum("n").alias("c"), F.min("t").alias("low"), F.max("t").alias("high"))
+    shared = written(runs.join(tokens.filter("low != high" if kind.across else "c > 1").select("h"), "h", "left_semi"), "suffix-shared")
+    discard(runs)
     # Within tasks equal runs are counted first, so a very common one is a row for each task.
-    kinds = runs.groupBy("h", "ch").agg(F.sum("n").alias("c"), F.min(F.struct("t", "s0")).alias("one"), F.min("t").alias("low"), F.max("t").alias("high"))
+    kinds = shared.groupBy("h", "ch").agg(F.sum("n").alias("c"), F.min(F.struct("t", "s0")).alias("one"), F.min("t").alias("low"), F.max("t").alias("high"))
     many = (F.col("low") != F.col("high")) if kind.across else (F.col("c") > 1)
-    tokens = kinds.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.min("low").alias("low"), F.max("high").alias("high"))
-    tokens = tokens.filter("low != high" if kind.across else "n > 1").select("h", "v")
-    kept = written(kinds.select("h", "ch", "one", many.alias("many")).join(tokens, "h"), "suffix-kinds")
-    seen = runs.drop("n").join(kept, ["h", "ch"])
+    kept = written(kinds.select("h", "ch", "one", many.alias("many")).join(kinds.groupBy("h").agg(F.count("*").alias("v")), "h"), "suffix-kinds")
+    seen = shared.drop("n").join(kept, ["h", "ch"])
     # Of runs found twice all are covered; one stands for them where others share their token.
     whole = seen.filter("many").select("t", F.col("s0").alias("lo"), (F.col("s1") + kind.length).alias("hi"))
     asked = seen.filter("v > 1 AND (NOT many OR (t = one.t AND s0 = one.s0))")
@@ -327,7 +329,7 @@ def repeated_spans(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
     dealt = few.repartitionByRange(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
     spans = whole.unionByName(dealt.mapInArrow(_sorted_bucket(kind), SPAN)).unionByName(_hot_spans(cut.filter(F.col("v") > HOT), kind))
     found = written(spans.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
-    discard(runs, kept, cut)
+    discard(shared, kept, cut)
     return found
 
 

@@ -48,11 +48,11 @@ def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c, down
 
 
-def word_numbers(data: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each word of a text, the same for the same word."""
-    starts, ends = word_bounds(data, np.array([0, len(data)]))
+def word_numbers(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit number for each word of texts, the same for the same word, and the texts' bounds among them."""
+    starts, ends = word_bounds(data, bounds)
     c, down = prefix_hashes(data)
-    return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U64))
+    return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U64)), np.searchsorted(starts, bounds)
 
 
 def slabs(column: pa.Array, size: int = SLAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
