@@ -367,16 +367,22 @@ def assembled(spark: SparkSession, rows: Rows, sources: DataFrame | None = None)
     empty = F.array().cast("array<string>")
     raw = raw.withColumn("aliases", F.coalesce("aliases", empty)).withColumn("columns", F.coalesce("columns", empty))
     merged = graph.merge_datasets(raw)
-    one, many = graph.alias_owners(merged)
-    names = graph.canonical_aliases(one)
+    # What readers found is known here: without an alias or a task there is nothing to follow.
+    if any(r.get("aliases") for r in rows["datasets"]):
+        one, many = graph.alias_owners(merged)
+        names = graph.canonical_aliases(one)
+        rewritten = lambda df, *ends: graph.rewrite(df, names, *ends)
+        datasets = graph.merge_datasets(rewritten(merged.withColumn("seq", F.lit(0)), "id"))
+    else:
+        many, rewritten, datasets = None, (lambda df, *ends: df), merged
     for k, ends in (("table_edges", ("src", "dst")), ("job_io", ("dataset_id",))):
-        f[k] = graph.dedup(graph.rewrite(f[k], names, *ends))
-    datasets = graph.merge_datasets(graph.rewrite(merged.withColumn("seq", F.lit(0)), names, "id"))
+        f[k] = graph.dedup(rewritten(f[k], *ends))
     datasets = datasets.withColumn("namespace", namespace).withColumn("name", name).withColumn("kind", identity.dataset_kind(F.col("id")))
     f["datasets"] = graph.enrich_products(datasets, f["product_databases"])
     when = _frame(spark, "schedules", rows["schedules"] + rows["comment_schedules"])
     f["schedules"] = when.withColumn("cron", cron.normalize_cron(F.col("interval_text")))
-    f["unresolved"] = f["unresolved"].unionByName(many.select(F.lit("alias_conflict").alias("kind"), F.lit(None).cast("string").alias("source_file"), F.concat(F.lit("claimed by several: "), "alias").alias("reason"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("job_id")))
+    if many is not None:
+        f["unresolved"] = f["unresolved"].unionByName(many.select(F.lit("alias_conflict").alias("kind"), F.lit(None).cast("string").alias("source_file"), F.concat(F.lit("claimed by several: "), "alias").alias("reason"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("job_id")))
     jobs = _frame(spark, "jobs", rows["jobs"]).withColumn("seq", F.monotonically_increasing_id())
     jobs = graph.merge_jobs(jobs).drop("product", "schedule_id")
     folders = f["products"].select(F.regexp_replace("source_file", "/?[^/]*$", "").alias("folder"), F.col("code").alias("product"))
@@ -386,11 +392,18 @@ def assembled(spark: SparkSession, rows: Rows, sources: DataFrame | None = None)
     comments = spark.createDataFrame([(r["job_id"], r["id"]) for r in rows["comment_schedules"]], "job_id string, schedule_id string")
     of_product = jobs.filter("product IS NOT NULL").select("job_id", F.concat(F.lit("product."), "product", F.lit(".__primary__")).alias("schedule_id")).join(f["schedules"].select(F.col("id").alias("schedule_id")), "schedule_id", "left_semi")
     f["jobs"] = jobs.join(graph.attach_schedules(jobs, tasks, of_product, comments), "job_id", "left")
+    deps = graph.data_dependencies(f["job_io"])
+    if not rows["task_edges"] and not rows["external_refs"]:
+        f["job_dependencies"] = graph.merge_evidence(deps, None)
+        return _scanned(spark, f, sources)
     edges, lost = graph.external_references(f["external_refs"], f["tasks"])
     f["task_edges"] = graph.dedup(f["task_edges"].unionByName(edges))
     f["unresolved"] = f["unresolved"].unionByName(lost.select(F.lit("external_job").alias("kind"), F.lit(None).cast("string").alias("source_file"), F.concat_ws(" ", F.lit("no single DAG"), "dag_id").alias("reason"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("job_id")))
-    deps = graph.merge_evidence(graph.data_dependencies(f["job_io"]), graph.dag_dependencies(f["task_edges"], f["task_jobs"]))
-    f["job_dependencies"] = deps
+    f["job_dependencies"] = graph.merge_evidence(deps, graph.dag_dependencies(f["task_edges"], f["task_jobs"]))
+    return _scanned(spark, f, sources)
+
+
+def _scanned(spark: SparkSession, f: dict[str, DataFrame], sources: DataFrame | None) -> Scan:
     if sources is not None:
         f["modules"] = repo.modules(sources)
     return Scan(spark, f)

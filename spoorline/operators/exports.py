@@ -7,6 +7,7 @@ import json
 import os
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,7 +157,13 @@ def lineage_events(jobs: DataFrame, fields: DataFrame, kinds: DataFrame, dataset
 
 def document(facts: Mapping[str, DataFrame]) -> str:
     """All facts of a scanned repository as one JSON text, the same for the same facts."""
-    out = {name: sorted((json.loads(x) for x in df.toJSON().collect()), key=lambda r: json.dumps(r, sort_keys=True)) for name, df in facts.items()}
+    # One query over all facts: what several of them are made from is computed once.
+    rows = reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("fact"), F.to_json(F.struct("*")).alias("row")) for name, df in facts.items()])
+    out: dict[str, list[dict]] = {name: [] for name in facts}
+    for r in rows.collect():
+        out[r["fact"]].append(json.loads(r["row"]))
+    for found in out.values():
+        found.sort(key=lambda r: json.dumps(r, sort_keys=True))
     return json.dumps({"version": VERSION} | out, sort_keys=True, indent=1, ensure_ascii=False) + "\n"
 
 

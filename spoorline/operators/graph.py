@@ -161,8 +161,10 @@ def external_references(refs: DataFrame, tasks: DataFrame) -> tuple[DataFrame, D
     return edges, refs.join(met.select("task", "dag_id").distinct(), ["task", "dag_id"], "left_anti")
 
 
-def merge_evidence(data: DataFrame, dag: DataFrame) -> DataFrame:
+def merge_evidence(data: DataFrame, dag: DataFrame | None) -> DataFrame:
     """Data and DAG dependencies as one row for a pair: sources (sorted), via, in_place_writer."""
+    if dag is None:
+        return data.select("job_id", "upstream", F.array(F.lit("data")).alias("sources"), "via", "in_place_writer")
     none = F.array().cast("array<string>")
     a = data.select("job_id", "upstream", F.lit("data").alias("source"), "via", "in_place_writer")
     b = dag.select("job_id", "upstream", F.lit("dag").alias("source"), none.alias("via"), F.lit(False).alias("in_place_writer"))
