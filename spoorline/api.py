@@ -6,11 +6,15 @@ import ast
 import os
 import re
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from spoorline.functions import cron, identity
 from spoorline.operators import exports, graph, impact, policy, products
@@ -23,6 +27,8 @@ from spoorline.sources import catalogs, repo
 from spoorline.sources.products import read_products, readable_products
 
 Rows = dict[str, list[dict]]
+#: Files that are parsed at a time.
+PARSERS = 8
 
 
 @dataclass
@@ -309,16 +315,31 @@ class Scan:
 
 
 def _frame(spark: SparkSession, name: str, rows: Iterable[dict], more: str = "") -> DataFrame:
-    schema = SCHEMAS[name] + more
-    from pyspark.sql.types import StructType
+    """Rows as a DataFrame whose size Spark knows, so that it plans joins of small facts as broadcasts."""
+    schema = StructType.fromDDL(SCHEMAS[name] + more)
+    names = set(schema.fieldNames())
+    table = pa.Table.from_pylist([{k: v for k, v in r.items() if k in names} for r in rows], to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
 
-    fields = StructType.fromDDL(schema).fieldNames()
-    return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], schema)
+
+def _read(path: str, text: str, context: Context, readers: list[Reader]) -> Rows:
+    """A file's rows by all readers that accept it."""
+    out: Rows = {}
+    for reader in readers:
+        try:
+            if not reader.accepts(path, text):
+                continue
+            rows = reader.read(path, text, context)
+        except Exception as e:  # one file's failure is a row; the others go on
+            rows = {"unresolved": [{"kind": "unsupported_syntax", "source_file": path, "reason": f"{reader.name}: {type(e).__name__}: {e}"[:300], "line": 1, "job_id": job_id_of(path)}]}
+        for k, v in rows.items():
+            out.setdefault(k, []).extend(v)
+    return out
 
 
 def scan(
     spark: SparkSession,
-    path: str,
+    path: str | repo.Source,
     schema: Mapping | Callable[[str], list[str] | None] | None = None,
     bindings: Mapping[str, str] | None = None,
     default_db: str | None = None,
@@ -326,12 +347,12 @@ def scan(
     readers: Iterable[Reader] | None = None,
     **limits: int,
 ) -> Scan:
-    """Reads a repository, a file or an archive; nothing in it is imported or run.
+    """Reads a repository, a file, an archive or a Source; nothing in it is imported or run.
 
     Sources are read by Spark; their texts are parsed on the driver, where Catalyst's parser is.
     All that follows (identity, merging, dependencies, products) are joins over the facts.
     """
-    sources = repo.read_repository(spark, path, **limits)
+    sources = (repo.LocalSource(path, limits) if isinstance(path, str) else path).read(spark)
     found = sorted(sources.collect(), key=lambda r: r["path"])  # source code: megabytes at most
     texts = {r["path"]: r["text"] for r in found if r["text"] is not None}
     columns = schema if callable(schema) else catalogs.lookup(dict(schema) if schema else None)
@@ -343,16 +364,9 @@ def scan(
     all_rows["unresolved"] += [{"kind": "source_unreadable", "source_file": p, "reason": why, "line": 1, "job_id": ""} for p, why in bad.items()]
     for k, rows in read_products(good).items():
         all_rows[k] += rows
-    for r in found:
-        if r["text"] is None or not r["is_entry"]:
-            continue
-        for reader in readers or READERS:
-            try:
-                if not reader.accepts(r["path"], r["text"]):
-                    continue
-                rows = reader.read(r["path"], r["text"], context)
-            except Exception as e:  # one file's failure is a row; the others go on
-                rows = {"unresolved": [{"kind": "unsupported_syntax", "source_file": r["path"], "reason": f"{reader.name}: {type(e).__name__}: {e}"[:300], "line": 1, "job_id": job_id_of(r["path"])}]}
+    entries = [(r["path"], r["text"]) for r in found if r["text"] is not None and r["is_entry"]]
+    with ThreadPoolExecutor(PARSERS) as pool:  # the parser runs in the JVM, several files at a time
+        for rows in pool.map(lambda e: _read(*e, context, list(readers or READERS)), entries):
             for k, v in rows.items():
                 all_rows[k] += v
     return assembled(spark, all_rows, sources)
@@ -389,7 +403,7 @@ def assembled(spark: SparkSession, rows: Rows, sources: DataFrame | None = None)
     owners = f["datasets"].filter("product IS NOT NULL").select(F.col("id").alias("dataset_id"), "product")
     jobs = jobs.join(graph.job_products(f["job_io"], owners, jobs.select("job_id", "source_file"), folders), "job_id", "left")
     tasks = f["tasks"].join(f["task_jobs"], "task").select("job_id", F.col("dag_id").alias("schedule_id"))
-    comments = spark.createDataFrame([(r["job_id"], r["id"]) for r in rows["comment_schedules"]], "job_id string, schedule_id string")
+    comments = _frame(spark, "jobs", [{"job_id": r["job_id"], "schedule_id": r["id"]} for r in rows["comment_schedules"]]).select("job_id", "schedule_id")
     of_product = jobs.filter("product IS NOT NULL").select("job_id", F.concat(F.lit("product."), "product", F.lit(".__primary__")).alias("schedule_id")).join(f["schedules"].select(F.col("id").alias("schedule_id")), "schedule_id", "left_semi")
     f["jobs"] = jobs.join(graph.attach_schedules(jobs, tasks, of_product, comments), "job_id", "left")
     deps = graph.data_dependencies(f["job_io"])

@@ -6,7 +6,9 @@ import io
 import os
 import stat
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +99,35 @@ def read_repository(spark: SparkSession, root: str, max_file: int = MAX_FILE, ma
     return out
 
 
+class Source(Protocol):
+    """Where a scan takes its sources from; a store of another kind needs only this."""
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """ROW for each source."""
+
+
+@dataclass(frozen=True)
+class LocalSource:
+    """A folder, file or archive of any file system that Spark reads."""
+
+    path: str
+    limits: Mapping[str, int] = field(default_factory=dict)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return read_repository(spark, self.path, **self.limits)
+
+
+@dataclass(frozen=True)
+class TextSource:
+    """Texts by path, from memory: what a client of some service has fetched."""
+
+    texts: Mapping[str, str]
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        rows = [(p, t, os.path.splitext(p)[1], None, True, None) for p, t in self.texts.items() if os.path.splitext(p)[1] in SUFFIXES[:4]]
+        return spark.createDataFrame(rows, ROW)
+
+
 def modules(sources: DataFrame) -> DataFrame:
     """(module, path): every dotted ending of a Python file's path."""
     py = sources.filter("suffix = '.py' AND text IS NOT NULL")

@@ -153,3 +153,17 @@ def test_look_ups_by_ending(spark):
     find = c.module("main.py")
     assert find("lib.n", 0)[1] == "z.zip!/lib/n/__init__.py" and find("m", 0) is None and c.module("lib/q.py")("m", 0)[1] == "lib/m.py" and find("main", 0) is None
     assert c.module("b/q.py")("m", 1)[1] == "b/m.py"
+
+
+def test_sources_from_elsewhere(spark):
+    from spoorline.sources.repo import TextSource
+
+    found = api.scan(spark, TextSource({"b.sql": "create table m.t as select a from s.t", "notes.txt": "x", "product.yaml": "code: p\ndatabases: [m]"}))
+    assert [(r["job_id"], r["product"]) for r in found.jobs.collect()] == [("b", "p")]
+    assert {r["path"] for r in found.modules.collect()} == set()
+
+    class Two:
+        def read(self, spark):
+            return TextSource({"a.py": "from lib import load\nload('s.t').write.saveAsTable('m.u')", "lib.py": "def load(n):\n    return spark.table(n)"}).read(spark)
+
+    assert [(r["src"], r["dst"]) for r in api.scan(spark, Two()).table_edges.collect()] == [("glue://s/t", "glue://m/u")]
