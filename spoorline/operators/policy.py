@@ -5,6 +5,9 @@ Proposals are rows from outside (for example a model's answers); nothing here ca
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,22 +103,37 @@ def committed(rows: DataFrame) -> DataFrame:
     return rows.join(bad, "source_file", "left_anti")
 
 
-def call_plan(files: DataFrame, max_calls: int, max_tokens: int) -> DataFrame:
-    """(seq, path, tokens) -> decision: called, over_tokens or over_calls, in order.
+def call_plan(files: DataFrame, max_calls: int, max_tokens: int, max_context: int | None = None, deadline: float | None = None) -> DataFrame:
+    """(seq, path, tokens[, context, seconds]) -> decision for each file, in order: called, or the
+    first limit it meets: over_calls, over_deadline, over_context, over_tokens.
 
-    A file whose tokens don't fit what is left is skipped and later ones may still fit: a fold over
-    the list of files, which is as small as a repository's.
+    A file whose tokens don't fit what is left is skipped and later ones may still fit, so each
+    decision depends on all before it: a fold over the list of files, which is as small as a
+    repository's, streamed through one task. context: characters sent with a file; seconds: what
+    its call takes, counted against the deadline. Without these columns they are 0.
     """
-    one = F.sort_array(F.collect_list(F.struct("seq", "path", "tokens")))
-    start = F.struct(F.lit(0).alias("calls"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<seq:bigint,path:string,decision:string>>").alias("out"))
-
-    def step(a: Column, f: Column) -> Column:
-        decision = F.when(a["calls"] >= max_calls, "over_calls").when(a["used"] + f["tokens"] > max_tokens, "over_tokens").otherwise("called")
-        hit = (decision == "called").cast("int")
-        row = F.struct(f["seq"].cast("long").alias("seq"), f["path"].alias("path"), decision.alias("decision"))
-        return F.struct((a["calls"] + hit).alias("calls"), (a["used"] + hit * f["tokens"]).cast("long").alias("used"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    return files.agg(one.alias("files")).select(F.inline(F.aggregate("files", start, step)["out"]))
+    more = [c if c in files.columns else F.lit(0).alias(c) for c in ("context", "seconds")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls, used, spent = 0, 0, 0.0
+        for pdf in batches:
+            out = []
+            for tokens, context, seconds in zip(pdf["tokens"], pdf["context"], pdf["seconds"]):
+                if calls >= max_calls:
+                    out.append("over_calls")
+                elif deadline is not None and spent >= deadline:
+                    out.append("over_deadline")
+                elif max_context is not None and context > max_context:
+                    out.append("over_context")
+                elif used + tokens > max_tokens:
+                    out.append("over_tokens")
+                else:
+                    out.append("called")
+                    calls, used, spent = calls + 1, used + tokens, spent + seconds
+            yield pdf[["seq", "path"]].assign(decision=out)
+
+    ordered = files.select(F.col("seq").cast("long"), "path", F.col("tokens").cast("long"), *more).repartition(1).sortWithinPartitions("seq", "path")
+    return ordered.mapInPandas(run, "seq long, path string, decision string")
 
 
 def inherit_descriptions(columns: DataFrame, copies: DataFrame) -> DataFrame:

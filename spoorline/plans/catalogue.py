@@ -343,6 +343,13 @@ def call_budget_plan(spark, d):
     return policy.call_plan(B.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("path"), (F.lit(10) + F.col("n_nationkey") * 7 % 30).cast("long").alias("tokens")), 12, 200)
 
 
+@query("""SELECT * FROM (VALUES (1, 'called'), (2, 'over_context'), (3, 'called'), (4, 'over_tokens'), (5, 'called'), (6, 'over_deadline'), (7, 'over_deadline')) t(seq, decision)""")
+def call_budget_limits(spark, d):
+    rows = [(1, "a", 50, 10, 2.0), (2, "b", 10, 900, 1.0), (3, "c", 40, 100, 3.0), (4, "d", 20, 1, 1.0), (5, "e", 10, 1, 5.0), (6, "f", 1, 1, 1.0), (7, "g", 1, 999, 1.0)]
+    files = spark.createDataFrame(rows, "seq long, path string, tokens long, context long, seconds double")
+    return policy.call_plan(files, 9, 100, 500, 10.0).select(F.col("seq").cast("int").alias("seq"), "decision")
+
+
 # ---- exports ------------------------------------------------------------------------------------
 
 
