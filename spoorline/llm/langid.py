@@ -206,7 +206,7 @@ def predict(docs: DataFrame, parser: Parser) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tc.tidied(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
