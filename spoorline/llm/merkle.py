@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.llm.common import partitions
+from spoorline.llm.textcore import tidied
 
 #: Letters behind which a blank ends a leaf.
-CUT = "ahlmrz"
+CUT = "lmz"
 _end = re.compile(rf"\n|[.!?]+[ \t]*|(?<=[{CUT}])[ \t]+")
 LONGEST, LEAF, NODE, ROOT = 256, 3, 6, 16
 #: Bytes of texts of a range of ids about.
@@ -241,4 +242,4 @@ def with_next(docs: DataFrame) -> DataFrame:
     lent = lent.select(F.col("to").alias("place"), "doc_id", "text", F.lit(True).alias("borrowed"), "down", "tie")
     own = df.select("place", "doc_id", "text", F.lit(False).alias("borrowed"), "down", "tie")
     dealt = own.unionByName(lent).repartitionById(k, "place").sortWithinPartitions("place", "borrowed", "down", "tie")
-    return dealt.select("place", "doc_id", "text", "borrowed").mapInArrow(_pairs, EDITED)
+    return dealt.select("place", "doc_id", "text", "borrowed").mapInArrow(tidied(_pairs), EDITED)
