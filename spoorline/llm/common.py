@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: The six separators of words: space and \t to \r.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a key below which it is never hot.
+HOT_ROWS = 1000
 _own: dict[str, str] = {}
 
 
@@ -61,6 +64,13 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so once the driver has
+    collected what names them, which a driver with little to do comes to late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,3 +96,25 @@ def hashed(c: Column, bits: int, seed: str) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int, tag: str) -> DataFrame | None:
+    """(keys, n) -> the keys that hold over a quarter of a partition's fair share of total rows, as a
+    written table; none: None. There are at most four for each partition, whatever the rows."""
+    share = max(HOT_ROWS, total // (4 * partitions(counts.sparkSession)))
+    hot = written(counts.filter(F.col("n") > share).select(*keys), tag)
+    return None if hot.isEmpty() else hot
+
+
+def join_spread(rows: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows.join(small, keys, how) for inner, left and left_semi, where rows of hot keys stay in the
+    tasks that they are in.
+
+    The hot keys' part of small is written, so that Spark knows its size and broadcasts it below
+    its threshold; the other rows meet by shuffling as they would.
+    """
+    if hot is None:
+        return rows.join(small, keys, how)
+    few = written(hot.join(small, keys, how), "hot-part")  # for left: with nulls where small has none
+    cold = rows.join(hot, keys, "left_anti").join(small, keys, how)
+    return cold.unionByName(rows.join(few, keys, "inner" if how == "left" else how))

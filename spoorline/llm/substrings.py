@@ -40,11 +40,13 @@ from pyspark.sql import functions as F
 
 from spoorline.llm import textcore as tc
 from spoorline.llm.anchors import anchors
-from spoorline.llm.common import discard, partitions, written
+from spoorline.llm.common import discard, hot_keys, join_spread, partitions, sweep, written
 
 LENGTH, GRAM = 400, 100
 #: Words of a passage, of its tokens, and of its anchors.
 PASSAGE, PHRASE, ANCHOR = 51, 17, 8
+#: Bytes of texts whose runs are found together: each takes some 150 bytes of memory meanwhile.
+SLAB = 256 << 10
 #: Different runs of one leading token that a single task takes.
 HOT = 2000
 
@@ -89,7 +91,7 @@ def _runs(kind: Kind):
             ids, first, times = np.unique(every, return_index=True, return_counts=True)
             where = np.sort(first)
             number = times[np.searchsorted(ids, every[where])]
-            for lo, _, data, bounds in tc.slabs(batch.column(0).take(pa.array(where))):
+            for lo, _, data, bounds in tc.slabs(batch.column(0).take(pa.array(where)), SLAB):
                 x, at = kind.units(data, bounds)
                 a, h, s0, s1 = anchors(x, kind.length, kind.anchor, at)
                 if not len(a):
@@ -309,27 +311,30 @@ def repeated_spans(docs: DataFrame, kind: Kind | None = None) -> DataFrame:
     kind = kind or byte_kind()
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("t"))
-    runs = written(texts.mapInArrow(_runs(kind), "h long, ch long, t long, n long, a int, s0 int, s1 int"), "suffix-runs")
+    runs = written(texts.mapInArrow(tc.tidied(_runs(kind)), "h long, ch long, t long, n long, a int, s0 int, s1 int"), "suffix-runs")
     # Most leading tokens are found once; what is left of the runs after them is small.
-    tokens = runs.groupBy("h").agg(F.sum("n").alias("c"), F.min("t").alias("low"), F.max("t").alias("high"))
-    shared = written(runs.join(tokens.filter("low != high" if kind.across else "c > 1").select("h"), "h", "left_semi"), "suffix-shared")
-    discard(runs)
+    tokens = runs.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("n"), F.min("t").alias("low"), F.max("t").alias("high"))
+    tokens = written(tokens.filter("low != high" if kind.across else "c > 1").select("h", "n"), "suffix-tokens")
+    shared = written(join_spread(runs, tokens.select("h"), ["h"], hot_keys(tokens, ["h"], runs.count(), "hot-tokens"), "left_semi"), "suffix-shared")
+    discard(runs, tokens)
     # Within tasks equal runs are counted first, so a very common one is a row for each task.
-    kinds = shared.groupBy("h", "ch").agg(F.sum("n").alias("c"), F.min(F.struct("t", "s0")).alias("one"), F.min("t").alias("low"), F.max("t").alias("high"))
+    kinds = shared.groupBy("h", "ch").agg(F.sum("n").alias("c"), F.count("*").alias("n"), F.min(F.struct("t", "s0")).alias("one"), F.min("t").alias("low"), F.max("t").alias("high"))
     many = (F.col("low") != F.col("high")) if kind.across else (F.col("c") > 1)
-    kept = written(kinds.select("h", "ch", "one", many.alias("many")).join(kinds.groupBy("h").agg(F.count("*").alias("v")), "h"), "suffix-kinds")
-    seen = shared.drop("n").join(kept, ["h", "ch"])
+    kept = written(kinds.select("h", "ch", "one", "n", many.alias("many")).join(kinds.groupBy("h").agg(F.count("*").alias("v")), "h"), "suffix-kinds")
+    both = ["h", "ch"]
+    seen = join_spread(shared.drop("n"), kept.drop("n"), both, hot_keys(kept, both, shared.count(), "hot-runs"))
     # Of runs found twice all are covered; one stands for them where others share their token.
     whole = seen.filter("many").select("t", F.col("s0").alias("lo"), (F.col("s1") + kind.length).alias("hi"))
     asked = seen.filter("v > 1 AND (NOT many OR (t = one.t AND s0 = one.s0))")
     lists = asked.groupBy("t").agg(F.collect_set(F.struct("h", "v", "many", "a", "s0", "s1")).alias("runs"))
     once = texts.join(lists.select("t").hint("shuffle_hash"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    cut = written(once.join(lists, "t").select("t", "text", "runs").mapInArrow(_cut(kind), CUT), "suffix-bytes")
+    cut = written(once.join(lists, "t").select("t", "text", "runs").mapInArrow(tc.tidied(_cut(kind)), CUT), "suffix-bytes")
     few = cut.filter(F.col("v") <= HOT)
     dealt = few.repartitionByRange(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
-    spans = whole.unionByName(dealt.mapInArrow(_sorted_bucket(kind), SPAN)).unionByName(_hot_spans(cut.filter(F.col("v") > HOT), kind))
+    spans = whole.unionByName(dealt.mapInArrow(tc.tidied(_sorted_bucket(kind)), SPAN)).unionByName(_hot_spans(cut.filter(F.col("v") > HOT), kind))
     found = written(spans.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
     discard(shared, kept, cut)
+    sweep(docs.sparkSession)
     return found
 
 
@@ -377,11 +382,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     none = F.lit(None)
     spans, passages = repeated_spans(docs), repeated_spans(docs, word_kind())
     kind = spans.schema["spans"].dataType
-    copied = rows.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1")
+    copied = written(rows.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-copies")
     each = spans.select("t", "spans", none.cast(kind).alias("passages"), none.cast("boolean").alias("copied"))
     each = each.unionByName(passages.select("t", none.cast(kind).alias("spans"), F.col("spans").alias("passages"), none.cast("boolean").alias("copied")))
     each = each.unionByName(copied.select("t", none.cast(kind).alias("spans"), none.cast(kind).alias("passages"), F.lit(True).alias("copied")))
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
-    found = each.groupBy("t").agg(one("spans"), one("passages"), one("copied"))
-    out = rows.join(found.hint("shuffle_hash"), "t", "left")
-    return out.select("doc_id", "text", "spans", "passages", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_kept, RESULT)
+    found = written(each.groupBy("t").agg(one("spans"), one("passages"), one("copied")), "suffix-found")
+    discard(spans, passages)
+    out = join_spread(rows, found.hint("shuffle_hash"), ["t"], hot_keys(copied, ["t"], docs.count(), "hot-texts"), "left")
+    return out.select("doc_id", "text", "spans", "passages", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(tc.tidied(_kept), RESULT)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spoorline.llm import anchors, components, merkle, ngramjoin, substrings
+from spoorline.llm import anchors, common, components, merkle, ngramjoin, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -165,9 +165,10 @@ def plain_substrings(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_repeated_substrings(docs, rows, monkeypatch, hot):
+@pytest.mark.parametrize("hot, rows_of_a_key", [(2000, 1000), (2, 1000), (2000, 1)])
+def test_repeated_substrings(docs, rows, monkeypatch, hot, rows_of_a_key):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", rows_of_a_key)
     got = Counter(tuple(r) for r in substrings.without_repeats(docs).collect())
     assert got == plain_substrings(rows) and any(x[2] for x in got) and any(x[5] for x in got)
 
@@ -210,7 +211,7 @@ def plain_leaves(line):
     while i < len(line):
         now += line[i]
         stop = line[i] in ".!?" and (i + 1 == len(line) or line[i + 1] not in ".!?")
-        blank = line[i] in " \t" and len(now.rstrip(" \t")) > 0 and now.rstrip(" \t")[-1] in "ahlmrz"
+        blank = line[i] in " \t" and len(now.rstrip(" \t")) > 0 and now.rstrip(" \t")[-1] in "lmz"
         if stop or blank:
             while i + 1 < len(line) and line[i + 1] in " \t":
                 i += 1
@@ -345,3 +346,15 @@ def test_trees_as_rows(docs, rows):
     trees = merkle.fingerprints(docs).collect()
     assert {(t["doc_id"], t["root"]) for t in trees} == {(r[0], plain_tree(r[1] or "")[0]) for r in rows}
     assert all(t["sections"] for t in trees if t["doc_id"] == 0)
+
+
+def test_rows_of_hot_keys_join_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(400).selectExpr("id AS v", "CASE WHEN id % 2 = 0 THEN 0 ELSE id END AS k")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (3, "c"), (-1, "d")], "k long, w string")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    hot = common.hot_keys(counts, ["k"], 400, "test-hot")
+    assert [r["k"] for r in hot.collect()] == [0] and common.hot_keys(counts.filter("k > 0"), ["k"], 400, "test-hot") is None
+    for how in ("inner", "left", "left_semi"):
+        want = Counter(map(tuple, rows.join(small, ["k"], how).collect()))
+        assert Counter(map(tuple, common.join_spread(rows, small, ["k"], hot, how).collect())) == want
