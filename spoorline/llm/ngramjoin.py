@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.llm import textcore as tc
-from spoorline.llm.common import discard, partitions, written
+from spoorline.llm.common import discard, hot_keys, join_spread, partitions, sweep, written
 from spoorline.llm.components import components
 
 #: Similarity in hundredths, and how many hashes a bucket of step 1 holds about.
@@ -198,10 +198,13 @@ def shingle_ledger(docs: DataFrame, width: int = 5) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * partitions(spark), math.ceil(size / 6 / BUCKET))
-    posted = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(_post(width, buckets), POSTED)
+    posted = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(tc.tidied(_post(width, buckets)), POSTED)
     part = "chunk long, docs binary, counts binary, ids binary, nulls binary, marks binary, sizes binary, keys binary"
     counted = posted.groupBy("bucket").applyInPandas(_shared, part)
-    return written(counted.groupBy("chunk").applyInPandas(_gather, "doc_id long, mark long, n long, key binary, shared long"), "shingle-ledger")
+    out = written(counted.groupBy("chunk").applyInPandas(_gather, "doc_id long, mark long, n long, key binary, shared long"), "shingle-ledger")
+    del posted, counted
+    sweep(spark)
+    return out
 
 
 # ---- steps 2 and 3 ------------------------------------------------------------------------
@@ -315,6 +318,7 @@ def posts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     many = signs.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
     found = written(signs.join(many, "sig"), "jaccard-lists")
     discard(levels)
+    sweep(sets.sparkSession)
     return found
 
 
@@ -438,13 +442,15 @@ def _linked(docs: DataFrame, width: int, percent: int, pairs: bool) -> tuple[Dat
     """(doc_id, text) -> the ledger of shingle_ledger(), and what _met_in_blocks() finds."""
     ledger = shingle_ledger(docs, width)
     near = ledger.filter((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
-    classes = near.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    chosen = classes.select(F.col("doc_id").alias("chosen")).distinct().hint("shuffle_hash")
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    sets = written(texts.select("text").mapInArrow(_sets(width), "key binary, n long, hashes binary").filter("n > 0"), "shingle-sets")
+    # One text of each class is fetched, by its row's id and hash, so rows without an id spread too.
+    chosen = near.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.mark").alias("own")).distinct()
+    texts = docs.select("doc_id", "text", text_mark().alias("mark"))
+    texts = texts.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own")), "left_semi")
+    sets = written(texts.select("text").mapInArrow(tc.tidied(_sets(width)), "key binary, n long, hashes binary").filter("n > 0"), "shingle-sets")
     posted = posts(sets, percent)
     found = _met_in_blocks(posted, sets, ledger.filter("n > 0").groupBy("key").agg(F.count("*").alias("size")), percent, pairs)
     discard(posted, sets)
+    sweep(docs.sparkSession)
     return ledger, found
 
 
@@ -469,9 +475,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     return ledger, comp, found.filter("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n_links"))
 
 
-def _groups(ledger: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, top) of all sets: top is the key that names the set's component."""
-    return ledger.filter("n > 0").select("key").distinct().join(comp, "key", "left").select("key", F.coalesce("component", "key").alias("top"))
+def _groups(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, top) of all classes: top is the key that names the class's component."""
+    return classes.select("key").join(comp, "key", "left").select("key", F.coalesce("component", "key").alias("top"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -480,14 +486,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     n_links is the number of other documents that the document links to.
     """
     ledger, comp, links = jaccard_classes(docs, width, percent)
-    least = ledger.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
-    named = least.join(_groups(ledger, comp), "key")
+    least = written(ledger.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "jaccard-classes")
+    named = least.join(_groups(least, comp), "key")
     tops = named.groupBy("top").agg(F.min("least").alias("component_id"), F.sum("c").alias("all"))
     n = (F.col("c") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")
     ids = named.join(tops.filter("all > 1").drop("all"), "top").join(links, "key", "left").select("key", "component_id", n)
     of = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id").alias("component_id")
     n_links = F.coalesce(F.when(F.col("n") > 0, F.col("n_links")), F.lit(0)).cast("long").alias("n_links")
-    return ledger.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), of, n_links)
+    hot = hot_keys(least.select("key", F.col("c").alias("n")), ["key"], ledger.count(), "hot-classes")
+    return join_spread(ledger, ids, ["key"], hot, "left").select("doc_id", F.col("n").alias("n_shingles"), of, n_links)
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -498,11 +505,13 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = PERCENT) -
     values in the order of the columns stay. Rows without shingles link with nothing and all stay.
     """
     ledger, comp, _ = jaccard_classes(docs, width, percent)
-    rows = ledger.filter("n > 0").groupBy("key", "doc_id", "mark").agg(F.count("*").alias("c"))
-    rows = written(rows.join(_groups(ledger, comp), "key").select("top", "doc_id", "mark", "c"), "jaccard-rows")
-    first = rows.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("x"), F.sum("c").alias("all"))
-    stays = first.filter("all > 1").select(F.col("top").alias("of"), F.col("x.doc_id").alias("id"), F.col("x.mark").alias("own"))
-    met = rows.join(stays, F.col("top") == F.col("of"))
+    rows = written(ledger.filter("n > 0").groupBy("key", "doc_id", "mark").agg(F.count("*").alias("c")), "jaccard-rows")
+    total = rows.count()
+    classes = written(rows.groupBy("key").agg(F.count("*").alias("n")), "jaccard-classes")
+    rows = written(join_spread(rows, _groups(classes, comp), ["key"], hot_keys(classes, ["key"], total, "hot-classes")).select("top", "doc_id", "mark", "c"), "jaccard-rows")
+    first = written(rows.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("x"), F.sum("c").alias("all"), F.count("*").alias("n")), "jaccard-groups")
+    stays = first.filter("all > 1").select("top", F.col("x.doc_id").alias("id"), F.col("x.mark").alias("own"))
+    met = join_spread(rows, stays, ["top"], hot_keys(first, ["top"], total, "hot-groups"))
     is_it = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own"))
     gone = met.filter(~is_it).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text"))
     again = met.filter(is_it & (F.col("c") > 1)).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_text"))
