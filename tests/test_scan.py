@@ -167,3 +167,15 @@ def test_sources_from_elsewhere(spark):
             return TextSource({"a.py": "from lib import load\nload('s.t').write.saveAsTable('m.u')", "lib.py": "def load(n):\n    return spark.table(n)"}).read(spark)
 
     assert [(r["src"], r["dst"]) for r in api.scan(spark, Two()).table_edges.collect()] == [("glue://s/t", "glue://m/u")]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from spoorline.operators import shared
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert shared.shared_dir(session("spark://h:7077", "hdfs://c/shared/")) == "hdfs://c/shared"
+    assert shared.shared_dir(session("local[2]", None)).startswith("file://")
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(session("spark://h:7077", None))
