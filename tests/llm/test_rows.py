@@ -564,3 +564,27 @@ def test_tokens_beside_numbers_are_discovered(spark):
     for i, text in odd:
         gone = {k for _, a, b in plain_private(text) for k in range(a, b)}
         assert blank[i] == "".join(" " if k in gone else c for k, c in enumerate(text))
+
+
+# ---- the shared folder --------------------------------------------------------------------------
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from spoorline.llm import common
+
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert common.shared_dir(session("spark://h:7077", "hdfs://c/shared/")) == "hdfs://c/shared"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(session("spark://h:7077", None))
+
+
+def test_written_steps_go_when_asked(spark):
+    from spoorline.llm import common
+
+    df = common.written(spark.range(3), "test")
+    assert df.count() == 3
+    p = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+    common.discard(df)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
