@@ -200,7 +200,7 @@ def shingle_ledger(docs: DataFrame, width: int = 5) -> DataFrame:
     buckets = max(2 * partitions(spark), math.ceil(size / 6 / BUCKET))
     posted = docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(tc.tidied(_post(width, buckets)), POSTED)
     part = "chunk long, docs binary, counts binary, ids binary, nulls binary, marks binary, sizes binary, keys binary"
-    counted = posted.groupBy("bucket").applyInPandas(_shared, part)
+    counted = posted.groupBy("bucket").applyInPandas(tc.tidied_group(_shared), part)
     out = written(counted.groupBy("chunk").applyInPandas(_gather, "doc_id long, mark long, n long, key binary, shared long"), "shingle-ledger")
     del posted, counted
     sweep(spark)
@@ -307,11 +307,11 @@ def posts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     total = size[0] or 0
     buckets = max(partitions(sets.sparkSession), math.ceil(total / BUCKET))
     chunked = sets.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(max(partitions(sets.sparkSession), math.ceil(total / CHUNK)))))
-    out = chunked.groupBy("chunk").applyInPandas(_count_out(buckets), "bucket int, chunk long, hashes binary, counts binary")
-    levels = written(out.groupBy("bucket").applyInPandas(_count_back, "bucket int, chunk long, levels binary"), "shingle-levels")
+    out = chunked.groupBy("chunk").applyInPandas(tc.tidied_group(_count_out(buckets)), "bucket int, chunk long, hashes binary, counts binary")
+    levels = written(out.groupBy("bucket").applyInPandas(tc.tidied_group(_count_back), "bucket int, chunk long, levels binary"), "shingle-levels")
 
     def signed(boundary: int) -> DataFrame:
-        return chunked.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(_sign(buckets, boundary, percent), "sig long, key binary, n long")
+        return chunked.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(tc.tidied_group(_sign(buckets, boundary, percent)), "sig long, key binary, n long")
 
     lists = signed(0).agg(F.count("*"), F.approx_count_distinct("sig")).first()
     signs = signed(light_boundary(lists[0] / max(lists[1], 1), percent)).distinct()

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoorline.llm.textcore import tidied
+
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words remembered by a worker, their longest length, and how many the stream commits at a time.
@@ -310,7 +312,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
                     cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat, mask=pa.array([y is None for y in x])))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), fields)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -323,4 +325,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             text = [None if x is None else m.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidied(run), "doc_id long, text string")

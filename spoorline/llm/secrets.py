@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoorline.llm.common import discard, fresh_path, written
+from spoorline.llm.textcore import tidied
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "token")
 BASE = KINDS[:3]
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: str = "secrets-
     few = unseen(versions.join(hot, F.col("blob") == F.col("hot"), "left_anti").select("blob", "text"))
     one = unseen(versions.join(hot, (F.col("blob") == F.col("hot")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("blob", "text"))
     first = lambda rows: rows.groupBy("blob").agg(F.first("text").alias("text"))
-    first(few).unionByName(first(one)).mapInArrow(_scanner(rules), LEDGER).write.mode("append").parquet(ledger_path)
+    first(few).unionByName(first(one)).mapInArrow(tidied(_scanner(rules)), LEDGER).write.mode("append").parquet(ledger_path)
     discard(hot)
     found = read_ledger(spark, ledger_path).filter((F.col("rules") == rules) & (F.size("spans") > 0))
     found = found.groupBy("blob").agg(F.first("spans").alias("spans"))  # a rerun after a failure may have written a blob twice

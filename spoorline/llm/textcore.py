@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U64 = np.uint64
@@ -32,13 +34,36 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library trims by itself
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
 
     return whole
 
 
+def tidied_group(f: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
+    """The same for a function over groups, after each group."""
+    if len(inspect.signature(f).parameters) == 2:
+
+        def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = f(a, b)
+            release()
+            return out
+
+        return both
+
+    def one(a: pd.DataFrame) -> pd.DataFrame:
+        out = f(a)
+        release()
+        return out
+
+    return one
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library trims by itself
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers["up"]) < n:
