@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,9 +67,12 @@ def discard(*frames: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does so once the driver has
-    collected what names them, which a driver with little to do comes to late."""
-    gc.collect()
-    spark._jvm.System.gc()
+    collected what names them, which a driver with little to do comes to late. The first round
+    frees the names that Python held, the second what they stood for."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
