@@ -9,8 +9,9 @@ them. Every text goes through this stream, with or without spaces, in the same b
 
 No piece has a space after another character, so the paths always meet before a space that follows
 another character, and the stream commits there; a bounded memory of finished words between such
-boundaries skips the search for words seen before. Characters without a piece become
-their UTF-8 bytes' pieces.
+boundaries skips the search for words seen before. The other words of several texts are searched
+side by side, place by place, in NumPy arrays: a word's search needs no other word. Characters
+without a piece become their UTF-8 bytes' pieces.
 
 Null text: null ids. Empty text: no ids. The model's normalisation is the identity with a space
 put before the text; decoding takes it away, so a text comes back as it was, apart from U+2581,
@@ -26,12 +27,14 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.textcore import tidied
+from spoorline.llm.textcore import BASE, U64, tidied
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -39,6 +42,10 @@ MODEL = "piece_bpe_32k.model"
 REMEMBERED, STRETCH, COMMITTED = 250_000, 64, 4096
 _spaced = re.compile(" *[^ ]+| +")
 PAIRS = 1_000_000
+#: Ids decoded at a time.
+DECODED = 1 << 16
+#: Words searched side by side, and characters of texts whose words are looked up together.
+LANES, TOGETHER = 1 << 13, 1 << 18
 
 
 def model_path(name: str = MODEL) -> str:
@@ -62,6 +69,39 @@ def reject_other_models(path: str) -> None:
         raise ValueError(f"{path} has a piece with a space after another character: {wide}")
 
 
+class Numbers:
+    """Numbers of 0 and more by others: open addressing in arrays."""
+
+    def __init__(self, bits: int):
+        self.shift, self.n = U64(64 - bits), 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or would be."""
+        at = (keys.view(U64) * BASE >> self.shift).view(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            there = self.keys[at[left]]
+            left = left[(there != keys[left]) & (there != -1)]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        return at
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        at = self.slots(keys)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct new keys; the table must stay far from full."""
+        self.n += len(keys)
+        while len(keys):
+            at = self.slots(keys)
+            self.keys[at] = keys
+            won = self.keys[at] == keys  # of keys that meet in a slot, one
+            self.values[at[won]] = values[won]
+            keys, values = keys[~won], values[~won]
+
+
 class Pieces:
     """A model's pieces: exact merges of short strings, and the streaming search."""
 
@@ -79,7 +119,14 @@ class Pieces:
         self.unknown = sp.unk_id()
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.text = {i: p for p, i in self.id.items()}
-        self.byte_of = {i: b for b, i in enumerate(self.byte)}
+        #: What each id stands for, as UTF-8 in one pool; nothing for others, of which n is one.
+        self.n = n
+        means = {i: p.replace(SPACE, " ").encode() for p, i in self.id.items()}
+        if self.byte[0] != self.unknown:
+            means |= {i: bytes([b]) for b, i in enumerate(self.byte)}
+        spelt = [means.get(i, b"") for i in range(n + 1)]
+        self.pool, self.size = np.frombuffer(b"".join(spelt), np.uint8), np.fromiter(map(len, spelt), np.int64, n + 1)
+        self.start = np.cumsum(self.size) - self.size
         #: Finds all pieces that end at each place of a text, in one pass.
         self.found = ahocorasick.Automaton()
         for piece in self.id:
@@ -89,6 +136,30 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.pairs = Numbers(PAIRS.bit_length() + 1)
+        self._plant()
+
+    def _plant(self) -> None:
+        """The pieces as a tree of characters, in arrays."""
+        #: The number of each code point in pieces; 0: in none.
+        letters = sorted(set().union(*self.id))
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        nodes = {"": 0}
+        for p in self.id:
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        self.node_id = np.array([self.id.get(x, -1) for x in nodes], np.int64)
+        edges = [nodes[x[:-1]] * self.letters + int(self.letter[ord(x[-1])]) for x in nodes if x]
+        self.tree = Numbers((4 * len(nodes)).bit_length())
+        self.tree.add(np.array(edges, np.int64), np.arange(1, len(nodes)))
+        self.chars = np.zeros(self.n + 1, np.int64)
+        self.chars[self.n] = 1  # n: the start of a text, or a character without a piece
+        for p, i in self.id.items():
+            self.chars[i] = len(p)
+        #: Whether each character in pieces is one.
+        self.covered = self.alone.issuperset(letters)
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by merging the best pair first, the leftmost of equals."""
@@ -130,24 +201,91 @@ class Pieces:
             if text[k] not in self.alone:
                 yield k + 1, text[k]
 
-    def short(self, text: str) -> list[str]:
-        """The pieces of a text that fits the window: one path leads to its end."""
-        fits = self.fits
-        last: list[str | None] = [None] * (len(text) + 1)
-        last[0] = ""
-        for i, p in self.found.iter(text) if self.alone.issuperset(text) else ((end - 1, p) for end, p in self.ends(text)):
-            if last[i + 1] is None:
-                before = last[i + 1 - len(p)]
-                if before is not None:
-                    ok = fits.get((before, p))
-                    if ok or ok is None and self.follows(before, p):
-                        last[i + 1] = p
-        out, at = [], len(text)
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        out.reverse()
-        return out
+    def side_by_side(self, words: list[str]) -> list[bytes]:
+        """Ids of short words, each with the space before it, as 4-byte numbers.
+
+        The words' places are numbered one after the other, from the start to the end of each. last
+        holds for each place the piece that ends there on the one path to it, as in search().
+        """
+        text = SPACE + SPACE.join(words).replace(" ", SPACE)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        first = np.cumsum(size + 1) - size - 1
+        places = int(first[-1] + size[-1] + 1)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        inside = np.ones(places, bool)
+        inside[first + size] = False
+        letter = np.full(places + 1, -1)
+        letter[:-1][inside] = self.letter[np.minimum(code, len(self.letter) - 1)]
+        # All pieces that begin at each place.
+        at, node = np.flatnonzero(letter > 0), 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in range(self.longest):
+            node = self.tree.find(node * self.letters + letter[at + k])
+            at, node = at[node >= 0], node[node >= 0].astype(np.int64)
+            piece = self.node_id[node]
+            found.append((at[piece >= 0], piece[piece >= 0]))
+            more = letter[at + k + 1] > 0
+            at, node = at[more], node[more]
+        begin, piece = (np.concatenate(x) for x in zip(*found))
+        end = begin + self.chars[piece]
+        # Paths, by places from the start of each word.
+        last = np.full(places, -1)
+        last[first] = self.n
+        last[np.flatnonzero(letter == 0) + 1] = self.n
+        place = np.arange(places) - np.repeat(first, size + 1)
+        order = np.argsort(place[begin].astype(np.int16), kind="stable")
+        begin, piece, end = begin[order], piece[order], end[order]
+        cuts = np.searchsorted(place[begin], np.arange(int(size.max()) + 1))
+        for lo, hi in zip(cuts, cuts[1:]):
+            to = end[lo:hi]
+            free = np.flatnonzero(last[to] < 0) + lo  # pieces from nearer the start come first
+            fit = free[self.follow(last[begin[free]], piece[free])]
+            last[end[fit]] = piece[fit]
+        # Back from the ends.
+        taken, at = np.zeros(places, bool), first + size
+        start = first
+        while len(at):
+            taken[at] = True
+            at = at - self.chars[last[at]]
+            more = at > start
+            at, start = at[more], start[more]
+        ids = last[taken]
+        counts = np.add.reduceat(taken.astype(np.int64), first)
+        if len(unknown := np.flatnonzero(ids == self.n)):
+            chars = np.empty(places, np.uint32)
+            chars[1:][inside[:-1]] = code
+            missing = chars[taken][unknown]
+            if self.byte[0] == self.unknown:
+                ids[unknown] = self.unknown
+            else:
+                spelt = np.frombuffer(missing.tobytes().decode("utf-32-le").encode(), np.uint8)
+                each = np.ones(len(ids), np.int64)
+                each[unknown] = 1 + (missing > 0x7F) + (missing > 0x7FF) + (missing > 0xFFFF)
+                word = np.repeat(np.arange(len(words)), counts)
+                spread = np.repeat(ids, each)
+                spread[spread == self.n] = np.array(self.byte)[spelt]
+                ids, counts = spread, np.bincount(np.repeat(word, each), minlength=len(words))
+        flat = ids.astype("<i4").tobytes()
+        ends = (4 * np.cumsum(counts)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each b can be the piece after a; a is n at the start and after a character without a piece."""
+        keys = a * self.n + b
+        known = self.pairs.find(keys)
+        if len(new := np.flatnonzero(known < 0)):
+            pairs, back = np.unique(keys[new], return_inverse=True)
+            fits = np.array([self.fit(*divmod(k, self.n)) for k in pairs.tolist()], np.int32)
+            if self.pairs.n + len(pairs) > PAIRS:
+                self.pairs = Numbers(PAIRS.bit_length() + 1)
+            self.pairs.add(pairs[:PAIRS], fits[:PAIRS])
+            known[new] = fits[back]
+        return known > 0
+
+    def fit(self, a: int, b: int) -> bool:
+        q = self.text[b]
+        before = [self.text[a]] if a < self.n else []
+        return self.merged("".join(before) + q) == [*before, q]
 
     def search(self, text: str) -> Iterator[str]:
         """The pieces of a stretch, committed as soon as they are certain.
@@ -157,9 +295,6 @@ class Pieces:
         all paths share.
         """
         size, fits = self.longest, self.fits
-        if len(text) <= size:
-            yield from self.short(text)
-            return
         done, last = 0, {0: ""}
         now, look = 0, size
         for end, p in self.ends(text):
@@ -222,34 +357,64 @@ class Pieces:
                 out.extend([self.byte[b] for b in p.encode()] if self.byte[0] != self.unknown else [self.unknown])
         return out
 
-    def word(self, w: str) -> bytes:
-        """Ids of a word with the space before it, as 4-byte numbers; its ends are certain boundaries."""
-        ids = self.known.get(w) or self.older.get(w)
-        if ids is None:
-            text = SPACE + w.replace(" ", SPACE)
-            ids = self.ids_of(self.short(text) if len(text) <= self.longest else self.search(text)).tobytes()
-        if len(w) <= STRETCH:
-            if len(self.known) >= REMEMBERED:
-                self.older = self.known
-                self.known = {}
-            self.known[w] = ids
-        return ids
-
-    def stream(self, text: str) -> Iterator[bytes]:
-        """The ids of a text from left to right, COMMITTED words at a time: a word's end is a certain boundary.
+    def learn(self, words: Iterable[str]) -> list[str]:
+        """Makes the ids of all these words known, and returns those that are too long to stay so.
 
-        Spaces in a row belong to the word behind them.
+        A word counts with the space before it; its ends are certain boundaries.
         """
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = set(words).difference(self.known)
+        seen = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in seen)
+        new.difference_update(seen)
+        side = [w for w in new if len(w) <= STRETCH] if self.covered else []
+        for lo in range(0, len(side), LANES):
+            part = side[lo : lo + LANES]
+            self.known.update(zip(part, self.side_by_side(part)))
+        new.difference_update(side)
+        for w in new:
+            self.known[w] = self.ids_of(self.search(SPACE + w.replace(" ", SPACE))).tobytes()
+        return [w for w in new if len(w) > STRETCH]
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts, given as their words."""
+        long = self.learn(chain.from_iterable(texts))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in texts]
+        for w in long:
+            del self.known[w]
+        return out
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The words of a text. Spaces in a row belong to the word behind them."""
+        if not text:
+            return []
         text = text.replace(SPACE, " ")
         words = text.split(" ")
-        if "" in words:
-            words = [w[1:] for w in _spaced.findall(" " + text)]
+        return [w[1:] for w in _spaced.findall(" " + text)] if "" in words else words
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The ids of a text from left to right, COMMITTED words at a time: a word's end is a certain boundary."""
+        words = self.words(text)
         for lo in range(0, len(words), COMMITTED):
-            part = words[lo : lo + COMMITTED]
-            found = list(map(self.known.get, part))
-            if None in found:
-                found = [x or self.word(w) for w, x in zip(part, found)]
-            yield b"".join(found)
+            yield self.joined([words[lo : lo + COMMITTED]])[0]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[bytes | None]]:
+        """The ids of texts as 4-byte numbers, in lists for texts in a row: of TOGETHER characters, or of one text by its stream."""
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= TOGETHER):
+                chars += len(texts[hi] or "")
+                hi += 1
+            part = texts[lo:hi]
+            if hi == lo + 1:
+                found = [b"".join(self.stream(part[0] or ""))]
+            else:
+                found = self.joined([self.words(t or "") for t in part])
+            yield [None if t is None else x for t, x in zip(part, found)]
+            lo = hi
 
     def encode(self, text: str) -> array:
         """The ids of a text."""
@@ -260,23 +425,19 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        text, byte_of = self.text, self.byte_of
-        try:
-            return "".join([text[i] for i in ids]).replace(SPACE, " ")[1:]
-        except KeyError:  # it holds bytes
-            pass
-        out, held = [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                held.append(byte_of[i])
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held = bytearray()
-            out.append(text.get(i, ""))
-        if held:
-            out.append(held.decode(errors="replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
+        """The text of ids; those of no piece and no byte have none."""
+        x = np.minimum(np.asarray(ids, np.int32).view(np.uint32), self.n)
+        parts = np.split(x, np.flatnonzero(self.size[x] == 0))  # bytes beside such an id make no character together
+        text = "".join(b"".join(self.spelt(part)).decode(errors="replace") for part in parts)
+        return text.replace(SPACE, " ")[1:]
+
+    def spelt(self, ids: np.ndarray) -> Iterator[bytes]:
+        """What ids stand for, DECODED at a time."""
+        for lo in range(0, len(ids), DECODED):
+            x = ids[lo : lo + DECODED]
+            n = self.size[x]
+            end = np.cumsum(n)
+            yield self.pool[np.repeat(self.start[x] - end + n, n) + np.arange(end[-1])].tobytes()
 
 
 @lru_cache(4)
@@ -293,24 +454,23 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(path)
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            texts, lo = batch.column(1).to_pylist(), 0
+            for found in m.encode_all(texts):
+                part = batch.slice(lo, len(found))
                 rows = []
-                for t in part.column(1).to_pylist():
-                    if t is None:
-                        rows.append((None, None, None, None))
-                        continue
-                    x = m.encode(t)
-                    rows.append((len(x), hashlib.sha256(x.tobytes()).hexdigest(), m.decode(x) == t, x))
-                n, sha, back, x = zip(*rows)
+                for t, x in zip(texts[lo : lo + len(found)], found):
+                    if x is None:
+                        rows.append((None, None, None))
+                    else:
+                        rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), m.decode(np.frombuffer(x, np.int32)) == t))
+                n, sha, back = zip(*rows)
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.bool_())]
                 if ids:
-                    at = [0]
-                    for y in x:
-                        at.append(at[-1] + (len(y) if y is not None else 0))
-                    flat = pa.array(memoryview(b"".join(y.tobytes() for y in x if y is not None)).cast("i"), pa.int32()) if at[-1] else pa.array([], pa.int32())
-                    cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat, mask=pa.array([y is None for y in x])))
+                    at = np.cumsum([0, *(x or 0 for x in n)])
+                    flat = pa.array(np.frombuffer(b"".join(x for x in found if x), np.int32))
+                    cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat, mask=pa.array([x is None for x in found])))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+                lo += len(found)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), fields)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -350,6 +351,49 @@ def test_the_stream_commits_at_spaces(model, monkeypatch):
         assert model.decode(model.encode(text)) == text
 
 
+def test_new_words_cost_a_fraction_of_their_merges(model):
+    """In CPU seconds of this process, against merging each word by itself; pairs of pieces are known."""
+    rng = random.Random(9)
+    words = list({"".join(rng.choice("abcdefghinorstuéü.") for _ in range(rng.randint(2, 14))) for _ in range(40_000)})
+    text = " ".join(words)
+    model.encode(text)
+    model.known.clear()
+    model.older.clear()
+    began = time.process_time()
+    model.decode(model.encode(text))
+    took = time.process_time() - began
+    began = time.process_time()
+    for w in words[::10]:
+        model.merged("▁" + w)
+    assert took < 0.4 * 10 * (time.process_time() - began)
+
+
+@pytest.mark.parametrize("limits", [{}, {"LANES": 7, "REMEMBERED": 20, "TOGETHER": 300, "STRETCH": 9, "PAIRS": 50, "DECODED": 3}])
+def test_words_searched_side_by_side_get_the_library_s_ids(model, monkeypatch, limits):
+    import sentencepiece
+
+    for name, x in limits.items():
+        monkeypatch.setattr(pieces, name, x)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    fresh = pieces.Pieces(pieces.model_path())
+    rng = random.Random(10)
+    letters = ["a", "e", "t", "th", "ing", "é", "ß", "好", "🎉", "\u0378", "\n", "\t", "\0", "12", "  ", " ", " ", "\ufffd", "x" * 70]
+    texts = [None, "", " ", "  ", "好", "\n", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)), None, ""]
+    got = [x for part in fresh.encode_all(texts) for x in part]
+    assert len(got) == len(texts)
+    for t, x in zip(texts, got):
+        assert x is None if t is None else np.frombuffer(x, np.int32).tolist() == sp.encode(t), t
+        assert t is None or fresh.decode(np.frombuffer(x, np.int32)) == t
+
+
+def test_bytes_that_make_no_character_are_replaced(model):
+    a, b = model.byte[0xE5], model.byte[0xA5]
+    the = model.id["▁the"]
+    assert model.decode([the, a, b, the]) == "the\ufffd the"
+    assert model.decode([the, a, 10**6, b]) == "the\ufffd\ufffd"
+    assert model.decode([]) == ""
+
+
 def test_encoded_rows(docs, rows, empty):
     got = pieces.encode(docs)
     back = Counter((r["doc_id"], r["text"]) for r in pieces.decode(got).collect())
