@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.operators.shared import settled
@@ -30,10 +30,14 @@ def _with_sets(facts: DataFrame, sets: DataFrame, key: str, *arrays: str) -> Dat
     return facts.join(sets, key, "left").select(key, *[F.coalesce(a, none).alias(a) for a in arrays], *rest)
 
 
+def _first(c: str) -> Column:
+    """The first stated value by seq; of several at one seq the least, whatever order rows come in."""
+    return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(c)
+
+
 def merge_datasets(datasets: DataFrame) -> DataFrame:
     """One row for each id: arrays united, and the first stated location, product and layer by seq."""
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    facts = datasets.groupBy("id").agg(first("physical_location"), first("product"), first("layer"))
+    facts = datasets.groupBy("id").agg(_first("physical_location"), _first("product"), _first("layer"))
     return _with_sets(facts, _united(datasets, "id", "aliases", "columns"), "id", "aliases", "columns")
 
 
@@ -81,8 +85,7 @@ def missing_datasets(edges: DataFrame, datasets: DataFrame) -> DataFrame:
 def merge_jobs(jobs: DataFrame) -> DataFrame:
     """One row for each job_id with inputs and outputs united and the first stated facts by seq."""
     facts = [c for c in jobs.columns if c not in ("job_id", "inputs", "outputs", "seq")]
-    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in facts]
-    named = jobs.groupBy("job_id").agg(*first) if first else jobs.select("job_id").distinct()
+    named = jobs.groupBy("job_id").agg(*map(_first, facts)) if facts else jobs.select("job_id").distinct()
     return _with_sets(named, _united(jobs, "job_id", "inputs", "outputs"), "job_id", "inputs", "outputs")
 
 

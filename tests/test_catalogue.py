@@ -62,3 +62,16 @@ def test_descriptions_reach_any_distance(spark):
     got = policy.inherit_descriptions(spark.createDataFrame(nodes, "node long, description string"), spark.createDataFrame(copies, "src long, dst long"))
     want = {(0, "d", False), (200, None, False), (201, None, False), (300, "e", False), (301, None, False)} | {(i, "d", True) for i in range(1, 151)}
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_facts_of_one_seq_do_not_depend_on_the_order_of_rows(spark):
+    from spoorline.operators import graph
+
+    rows = [("t", [], [], None, p, None, 5) for p in ("A", "R")] + [("t", [], [], None, "Z", None, 6), ("t", [], [], None, None, None, 1)]
+    columns = "id string, aliases array<string>, columns array<string>, physical_location string, product string, layer string, seq long"
+    jobs = [("j", [], [], f, 5) for f in ("a.sql", "r.sql")]
+    for turn in (1, -1):
+        got = graph.merge_datasets(spark.createDataFrame(rows[::turn], columns).coalesce(1)).collect()
+        assert [r["product"] for r in got] == ["A"]
+        got = graph.merge_jobs(spark.createDataFrame(jobs[::turn], "job_id string, inputs array<string>, outputs array<string>, source_file string, seq long").coalesce(1)).collect()
+        assert [r["source_file"] for r in got] == ["a.sql"]
