@@ -112,11 +112,13 @@ def job_products(job_io: DataFrame, owners: DataFrame, jobs: DataFrame, folders:
 
 def data_dependencies(job_io: DataFrame) -> DataFrame:
     """(job_id, upstream, via, in_place_writer): a reader after each writer that doesn't read the dataset itself."""
-    io = job_io.select("job_id", "dataset_id", "direction").distinct()
-    reads = io.filter("direction = 'in'").select("job_id", "dataset_id")
-    writes = io.filter("direction = 'out'").select("job_id", "dataset_id")
-    clean = writes.join(reads, ["job_id", "dataset_id"], "left_anti").withColumnRenamed("job_id", "upstream")
-    in_place = writes.join(reads, ["job_id", "dataset_id"], "left_semi").select(F.col("job_id").alias("upstream")).distinct().withColumn("in_place_writer", F.lit(True))
+    # One row for each job and dataset says both ways, so nothing is joined to tell who reads what
+    # it writes; the rows are made once for all that reads them.
+    way = lambda w: F.bool_or(F.col("direction") == w).alias(w)
+    io = settled(job_io.dropna(subset=["job_id", "dataset_id"]).groupBy("job_id", "dataset_id").agg(way("in"), way("out")))
+    reads = io.filter(F.col("in")).select("job_id", "dataset_id")
+    clean = io.filter(F.col("out") & ~F.coalesce("in", F.lit(False))).select(F.col("job_id").alias("upstream"), "dataset_id")
+    in_place = io.filter(F.col("out") & F.col("in")).select(F.col("job_id").alias("upstream")).distinct().withColumn("in_place_writer", F.lit(True))
     deps = reads.join(clean, "dataset_id").filter("job_id != upstream").groupBy("job_id", "upstream").agg(F.array_sort(F.collect_set("dataset_id")).alias("via"))
     return deps.join(in_place, "upstream", "left").select("job_id", "upstream", "via", F.coalesce("in_place_writer", F.lit(False)).alias("in_place_writer"))
 
@@ -143,10 +145,22 @@ def cyclic_nodes(reach: DataFrame) -> DataFrame:
 
 
 def dag_dependencies(task_edges: DataFrame, task_jobs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(src, dst) task order and (task, job_id) -> (job_id, upstream); tasks without a job only bridge."""
-    reach = closure(task_edges, max_depth)
-    up = reach.join(task_jobs.select(F.col("task").alias("src"), F.col("job_id").alias("upstream")), "src")
-    both = up.join(task_jobs.select(F.col("task").alias("dst"), "job_id"), "dst")
+    """(src, dst) task order and (task, job_id) -> (job_id, upstream); tasks without a job only bridge.
+
+    Each job walks up from all its tasks at once, so there are (job, task) pairs to keep: jobs times
+    tasks at most, and in a tree far fewer than pairs of tasks, as what two tasks of a job both
+    come after is one row.
+    """
+    edges = settled(task_edges.select("src", "dst").dropna().distinct())
+    jobs = task_jobs.select("task", "job_id").dropna().distinct()
+    above = lambda at: at.join(edges.withColumnRenamed("dst", "task"), "task").select("job_id", F.col("src").alias("task")).distinct()
+    known = front = settled(above(jobs))
+    hop = 1
+    while (max_depth is None or hop < max_depth) and not front.isEmpty():
+        hop += 1
+        front = settled(above(front).join(known, ["job_id", "task"], "left_anti"))
+        known = known.unionByName(front)
+    both = known.join(jobs.withColumnRenamed("job_id", "upstream"), "task")
     return both.filter("job_id != upstream").select("job_id", "upstream").distinct()
 
 

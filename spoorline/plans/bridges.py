@@ -51,15 +51,19 @@ OWNERS = """owners AS (
  UNION ALL SELECT 'order:' || o_orderkey, 'region:' || n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-def job_io(spark: SparkSession, d: str) -> DataFrame:
+def job_rows(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers write the parts they had returned, and read those that they sold in bulk;
-    brands read their own parts that were accepted in bulk."""
+    brands read their own parts that were accepted in bulk. A row for each line that says so."""
     li, p = table(spark, d, "lineitem"), table(spark, d, "part")
     row = lambda df, job, way: df.select(job.alias("job_id"), name("part", "l_partkey").alias("dataset_id"), F.lit(way).alias("direction"))
     out = row(li.filter("l_returnflag = 'R'"), name("supplier", "l_suppkey"), "out")
     both = row(li.filter("l_quantity >= 45"), name("supplier", "l_suppkey"), "in")
     brand = row(li.filter("l_returnflag = 'A' AND l_quantity >= 30").join(p, F.col("l_partkey") == F.col("p_partkey")), name("brand", "p_brand"), "in")
-    return out.unionByName(both).unionByName(brand).distinct()
+    return out.unionByName(both).unionByName(brand)
+
+
+def job_io(spark: SparkSession, d: str) -> DataFrame:
+    return job_rows(spark, d).distinct()
 
 
 JOB_IO = """job_io AS (

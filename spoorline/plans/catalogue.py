@@ -112,7 +112,7 @@ EVIDENCE = f"""{DAG}, {B.JOB_IO.replace("job_io AS", "raw_io AS")}, io AS (SELEC
 
 
 def _evidence(spark, d):
-    io = B.job_io(spark, d).select(B.name("job", F.regexp_extract("job_id", "([0-9]+)", 1).cast("long") % 40).alias("job_id"), "dataset_id", "direction")
+    io = B.job_rows(spark, d).select(B.name("job", F.regexp_extract("job_id", "([0-9]+)", 1).cast("long") % 40).alias("job_id"), "dataset_id", "direction")
     return graph.merge_evidence(graph.data_dependencies(io), graph.dag_dependencies(B.tasks(spark, d), B.task_jobs(spark, d)))
 
 

@@ -75,3 +75,28 @@ def test_facts_of_one_seq_do_not_depend_on_the_order_of_rows(spark):
         assert [r["product"] for r in got] == ["A"]
         got = graph.merge_jobs(spark.createDataFrame(jobs[::turn], "job_id string, inputs array<string>, outputs array<string>, source_file string, seq long").coalesce(1)).collect()
         assert [r["source_file"] for r in got] == ["a.sql"]
+
+
+def test_dag_dependencies_keep_jobs_and_not_pairs_of_tasks(spark, monkeypatch):
+    from spoorline.operators import graph
+
+    layers = [[f"{a}{i}" for i in range(30)] for a in "abc"]
+    edges = [(x, y) for up, down in zip(layers, layers[1:]) for x in up for y in down] + [("p", "q"), ("q", "p"), ("q", "r")]
+    jobs = [(x, f"job:{x[0]}") for x in layers[0] + layers[2]] + [("p", "job:p"), ("r", "job:r"), ("r", None)]
+    kept = []
+    settled = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    frames = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(jobs, "task string, job_id string")
+    got = {tuple(r) for r in graph.dag_dependencies(*frames).collect()}
+    assert got == {("job:c", "job:a"), ("job:r", "job:p")}
+    assert max(df.count() for df in kept[1:]) <= 4 * 93  # jobs times tasks; pairs of tasks are 2,700 and more
+    assert sum(df.count() for df in kept[1:]) <= 4 * 93
+    assert not graph.dag_dependencies(*frames, max_depth=1).collect()
+
+
+def test_data_dependencies_tell_both_ways_from_one_row(spark):
+    from spoorline.operators import graph
+
+    io = [("w", "d", "out"), ("w", "d", "out"), ("x", "d", "out"), ("x", "d", "in"), ("r", "d", "in"), (None, "d", "out"), (None, "d", "in"), ("w", None, "out"), ("w", None, "in"), ("r", None, "in")]
+    got = {tuple(map(str, r)) for r in graph.data_dependencies(spark.createDataFrame(io, "job_id string, dataset_id string, direction string")).collect()}
+    assert got == {("r", "w", "['d']", "False"), ("x", "w", "['d']", "False")}
