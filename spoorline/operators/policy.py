@@ -68,10 +68,17 @@ def judged(proposals: DataFrame, known: DataFrame, schemas: DataFrame) -> DataFr
     return out.select(*proposals.columns, reason.alias("reason"), F.when(reason.isNull(), "inferred").alias("confidence"))
 
 
-def implied_table_edges(column_edges: DataFrame, table_edges: DataFrame) -> DataFrame:
-    """Table edges (src, dst, job_id) that column edges (target, sources, indirect, job_id) imply and no row states."""
-    ends = column_edges.select(F.explode(F.array_union("sources", "indirect")).alias("src"), F.col("target").alias("dst"), "job_id").filter("src != dst").distinct()
-    return ends.join(table_edges.select("src", "dst", "job_id"), ["src", "dst", "job_id"], "left_anti")
+def implied_table_edges(column_edges: DataFrame, table_edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Table edges (src, dst, job_id) that column edges (target, sources, indirect, job_id) imply and no row states.
+
+    parts: where few rows repeat an edge, into how many parts they are dealt before they are made
+    distinct, so that no task holds the edges of a whole split; else tasks make them distinct first.
+    """
+    ends = column_edges.select(F.explode(F.array_union("sources", "indirect")).alias("src"), F.col("target").alias("dst"), "job_id", F.lit(False).alias("stated")).filter("src != dst")
+    rows = ends.unionByName(table_edges.select("src", "dst", "job_id", F.lit(True).alias("stated")))
+    if parts:
+        rows = rows.repartition(parts, "src", "dst", "job_id")
+    return rows.groupBy("src", "dst", "job_id").agg(F.bool_or("stated").alias("stated")).filter("NOT stated").select("src", "dst", "job_id")
 
 
 def compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -219,8 +219,11 @@ def proposal_merge_decisions(spark, d):
 def implied_table_edges(spark, d):
     li = B.table(spark, d, "lineitem")
     src, dst = B.name("s", "l_suppkey"), B.name("p", "l_partkey")
-    cols = li.groupBy(dst.alias("target"), F.col("l_returnflag").alias("job_id")).agg(F.collect_set(F.when(F.col("l_linenumber") % 2 == 0, src)).alias("sources"), F.collect_set(F.when(F.col("l_linenumber") % 2 == 1, src)).alias("indirect"))
-    return policy.implied_table_edges(cols, li.filter("l_quantity > 10").select(src.alias("src"), dst.alias("dst"), F.col("l_returnflag").alias("job_id")))
+    even = F.col("l_linenumber") % 2 == 0
+    none = F.array().cast("array<string>")
+    cols = li.select(dst.alias("target"), F.when(even, F.array(src)).otherwise(none).alias("sources"), F.when(even, none).otherwise(F.array(src)).alias("indirect"), F.col("l_returnflag").alias("job_id"))
+    stated = li.filter("l_quantity > 10").select(src.alias("src"), dst.alias("dst"), F.col("l_returnflag").alias("job_id"))
+    return policy.implied_table_edges(cols, stated, parts=16 * li.rdd.getNumPartitions())
 
 
 @query("""WITH RECURSIVE base AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 1 THEN 'd' || c_custkey END AS descr FROM customer),

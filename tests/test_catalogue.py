@@ -100,3 +100,19 @@ def test_data_dependencies_tell_both_ways_from_one_row(spark):
     io = [("w", "d", "out"), ("w", "d", "out"), ("x", "d", "out"), ("x", "d", "in"), ("r", "d", "in"), (None, "d", "out"), (None, "d", "in"), ("w", None, "out"), ("w", None, "in"), ("r", None, "in")]
     got = {tuple(map(str, r)) for r in graph.data_dependencies(spark.createDataFrame(io, "job_id string, dataset_id string, direction string")).collect()}
     assert got == {("r", "w", "['d']", "False"), ("x", "w", "['d']", "False")}
+
+
+def test_implied_edges_are_dealt_out_before_they_are_made_distinct(spark, tmp_path):
+    lines = [(1, 10, "A", 5.0), (2, 10, "A", 5.0), (2, 10, "A", 50.0), (3, 10, None, 5.0), (3, 10, None, 50.0), (4, 10, None, 5.0), (5, 11, "R", 5.0), (5, 11, "R", 5.0), (6, 11, "N", 50.0)]
+    rows = [(k, *r) for k, r in zip((1, 2, 3, 1, 2, 2, 1, 2, None), lines)]
+    df = spark.createDataFrame(rows, "l_linenumber int, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = entry.queries()["implied_table_edges"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()["implied_table_edges"]).fetchall()
+    assert sorted(map(str, map(tuple, got.select("src", "dst", "job_id").collect()))) == sorted(map(str, want)) and len(want) == 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan  # its sorts held whole splits
+    aggregate, dealt = plan.index("partial_bool_or") if "partial_bool_or" in plan else plan.index("partial_max"), plan.index("REPARTITION_BY_NUM")
+    assert aggregate < dealt and "hashpartitioning(src#" in plan and ", 16), REPARTITION_BY_NUM" in plan
